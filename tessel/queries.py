@@ -1,4 +1,451 @@
-"""Queries of the geometry engine over the relational test tables, and their SQL."""
+"""Queries of the geometry engine over the relational test tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables hold no meshes, so solids are derived: integers first, then points, boxes and tetrahedra, the same on both sides.
+Signs are INT and wide values decimal strings, so nothing rounds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import exact as X
+from .operators import mesh, octree, planes, winding
+from .plans.indicator import Indicator
+from .sources import quantise, templates
+
+B = 21
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# The same text serves Spark and DuckDB: whole-number arithmetic on non-negative values only.
+WIDE_POINTS = """select l_orderkey, l_linenumber, l_suppkey, l_returnflag,
+  cast((cast(l_orderkey as bigint) * 7919 + l_linenumber * 104729) % 2000001 - 1000000 as bigint) as x,
+  cast((cast(l_partkey as bigint) * 611953 + l_linenumber * 1299709) % 2000001 - 1000000 as bigint) as y,
+  cast((cast(l_suppkey as bigint) * 15485863 + cast(l_quantity as bigint) * 32452843) % 2000001 - 1000000 as bigint) as z
+  from {lineitem}"""
+SMALL = """select l_orderkey, l_linenumber,
+  cast(l_linenumber % 3 as bigint) as ax, cast(cast(l_quantity as bigint) % 3 as bigint) as ay, cast(cast(round(l_discount * 100) as bigint) % 3 as bigint) as az,
+  cast(cast(round(l_tax * 100) as bigint) % 4 as bigint) as bx, cast(l_partkey % 3 as bigint) as "by", cast(l_suppkey % 3 as bigint) as bz,
+  cast(l_orderkey % 4 as bigint) as cx, cast(cast(l_quantity as bigint) % 4 as bigint) as cy, cast((l_partkey + l_linenumber) % 4 as bigint) as cz
+  from {lineitem}"""
+
+
+def _sql(spark: SparkSession, sf: str, text: str, **more: str) -> DataFrame:
+    """The shared text over a table read from ``sf``."""
+    frames = {"lineitem": _t(spark, sf, "lineitem")} if "{lineitem}" in text else {}
+    return spark.sql(text.replace('"by"', "`by`"), **frames, **more)
+
+
+def P(prefix: str, b: int = B):
+    return X.point(f"{prefix}x", f"{prefix}y", f"{prefix}z", b)
+
+
+def _tetra(df: DataFrame):
+    """Three corners from x, y, z by exchanging coordinates."""
+    x, y, z = (X.coordinate(c, B) for c in "xyz")
+    neg = lambda e: X.Exact(-e.col, B)  # noqa: E731  the coordinates stay within a million
+    return (x, y, z), (y, neg(x), z), (z, y, neg(x))
+
+
+def solid_volume(spark, sf):
+    df = _sql(spark, sf, WIDE_POINTS)
+    det = X.tetra_volume6(*_tetra(df))
+    return df.groupBy("l_suppkey").agg(F.sum(det.col.cast("decimal(28,0)")).cast("decimal(38,0)").cast("string").alias("volume6"), F.count_if(det.sign() > 0).alias("n_outward"), F.count(F.lit(1)).alias("n"))
+
+
+DET = "(cast({a}x as hugeint) * ({b}y * {c}z - {b}z * {c}y) + cast({a}y as hugeint) * ({b}z * {c}x - {b}x * {c}z) + cast({a}z as hugeint) * ({b}x * {c}y - {b}y * {c}x))"
+HUGE_POINTS = "with p as (" + WIDE_POINTS.format(lineitem="lineitem") + "), t as (select *, cast(x as hugeint) as ax, cast(y as hugeint) as ay, cast(z as hugeint) as az, cast(y as hugeint) as bx, cast(-x as hugeint) as \"by\", cast(z as hugeint) as bz, cast(z as hugeint) as cx, cast(y as hugeint) as cy, cast(-x as hugeint) as cz from p)"
+SQL_VOLUME = HUGE_POINTS + f" select l_suppkey, cast(sum({DET.format(a='a', b='b', c='c')}) as varchar) as volume6, count(*) filter ({DET.format(a='a', b='b', c='c')} > 0) as n_outward, count(*) as n from t group by 1".replace("by,", '"by",')
+
+
+def _q(text: str) -> str:
+    """Quote the coordinate named like a keyword."""
+    import re
+
+    return re.sub(r'(?<!["\w])by\b(?=\s*[-*+),<>=])', '"by"', text)
+
+
+def orient_signs(spark, sf):
+    df = _sql(spark, sf, WIDE_POINTS)
+    a, b, c = _tetra(df)
+    d = tuple(X.Exact(F.shiftright(v.col, 3), B) for v in a)
+    signs = {"o3": X.orient3d(a, b, c, d), "ox": X.orient2d(a, b, c, 0), "oy": X.orient2d(a, b, c, 1), "oz": X.orient2d(a, b, c, 2)}
+    return df.select(*[v.alias(k) for k, v in signs.items()]).groupBy(*signs).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _o2(u, v):
+    return f"sign((b{u} - a{u}) * (c{v} - a{v}) - (b{v} - a{v}) * (c{u} - a{u}))"
+
+
+SQL_ORIENT = (
+    HUGE_POINTS
+    + """, d as (select *, x >> 3 as dx, y >> 3 as dy, z >> 3 as dz from t),
+r as (select *, ax - dx as ux, ay - dy as uy, az - dz as uz, bx - dx as vx, "by" - dy as vy, bz - dz as vz, cx - dx as wx, cy - dy as wy, cz - dz as wz from d)
+select cast(sign("""
+    + DET.format(a="u", b="v", c="w")
+    + f""") as integer) as o3, cast({_o2("y", "z")} as integer) as ox, cast({_o2("z", "x")} as integer) as oy, cast({_o2("x", "y")} as integer) as oz, count(*) as n
+from r group by 1, 2, 3, 4"""
+)
+
+
+def plane_sides(spark, sf):
+    df = _sql(spark, sf, SMALL)
+    plane = X.plane_of(P("a", 5), P("b", 5), P("c", 5))
+    p = tuple(X.coordinate(F.lit(v).cast("bigint"), 5) for v in (1, 1, 1))
+    degenerate = X.is_degenerate(plane)
+    return df.select(F.when(~degenerate, X.side(plane, p)).alias("side"), degenerate.alias("degenerate"), X.leading_negative(plane).alias("flipped")).groupBy("side", "degenerate", "flipped").agg(F.count(F.lit(1)).alias("n"))
+
+
+PLANES = (
+    "with s as (" + SMALL.format(lineitem="lineitem") + """), n as (select *,
+  ("by" - ay) * (cz - az) - (bz - az) * (cy - ay) as na, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) as nb, (bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax) as nc from s),
+p as (select *, -(na * ax + nb * ay + nc * az) as nd, coalesce(nullif(na, 0), nullif(nb, 0), nullif(nc, 0), 0) < 0 as flipped, na = 0 and nb = 0 and nc = 0 as degenerate from n)"""
+)
+SQL_SIDES = PLANES + " select case when not degenerate then cast(sign(na + nb + nc + nd) as integer) end as side, degenerate, flipped, count(*) as n from p group by 1, 2, 3"
+
+
+def plane_dictionary(spark, sf):
+    """Distinct planes in the dictionary: how many rows have each, and how many the other way round."""
+    df = _sql(spark, sf, SMALL)
+    plane = X.plane_of(P("a", 5), P("b", 5), P("c", 5))
+    df = df.where(~X.is_degenerate(plane))
+    ids, rows = planes.intern(df, plane)
+    per = rows.groupBy("plane_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("flipped").alias("n_flipped"))
+    return ids.join(per, "plane_id").select(*[F.col(c).cast("bigint").alias(c) for c in "abcd"], F.col("plane_id").cast("bigint").alias("plane_id"), "n", "n_flipped")
+
+
+SQL_DICTIONARY = (
+    PLANES
+    + """, g as (select *, gcd(gcd(abs(na), abs(nb)), gcd(abs(nc), abs(nd))) * case when flipped then -1 else 1 end as g from p where not degenerate)
+select cast(na // g as bigint) as a, cast(nb // g as bigint) as b, cast(nc // g as bigint) as c, cast(nd // g as bigint) as d,
+  dense_rank() over (order by na // g, nb // g, nc // g, nd // g) - 1 as plane_id, count(*) as n, count(*) filter (flipped) as n_flipped
+from g group by na // g, nb // g, nc // g, nd // g"""
+)
+
+
+def plane_pairs(spark, sf):
+    """Coplanar neighbours: whether the planes of consecutive rows of an order are proportional."""
+    df = _sql(spark, sf, SMALL)
+    second = df.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), *[F.col(f"{p}{c}").alias(f"{q}{c}") for p, q in zip("abc", "uvw", strict=True) for c in "xyz"])
+    both = df.join(second, ["l_orderkey", "l_linenumber"])
+    p, q = X.plane_of(P("a", 5), P("b", 5), P("c", 5)), X.plane_of(P("u", 5), P("v", 5), P("w", 5))
+    both = both.where(~X.is_degenerate(p) & ~X.is_degenerate(q))
+    return both.groupBy(X.plane_same(p, q).alias("same"), X.radial_dot(p, q).alias("facing")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_PAIRS = (
+    PLANES
+    + """ select (p.na * q.nb = p.nb * q.na and p.na * q.nc = p.nc * q.na and p.na * q.nd = p.nd * q.na and p.nb * q.nc = p.nc * q.nb and p.nb * q.nd = p.nd * q.nb and p.nc * q.nd = p.nd * q.nc) as same,
+cast(sign(p.na * q.na + p.nb * q.nb + p.nc * q.nc) as integer) as facing, count(*) as n
+from p join p as q on p.l_orderkey = q.l_orderkey and q.l_linenumber = p.l_linenumber + 1 where not p.degenerate and not q.degenerate group by 1, 2"""
+)
+
+
+def edge_planes(spark, sf):
+    """Edge planes: the axis each is parallel to; both ends lie on it."""
+    df = _sql(spark, sf, SMALL)
+    a, b, c = P("a", 5), P("b", 5), P("c", 5)
+    support = X.plane_of(a, b, c)
+    df = df.where(~X.is_degenerate(support))
+    e, axis = X.edge_plane(a, b, support)
+    on = (X.side(e, a) == 0) & (X.side(e, b) == 0)
+    return df.select(axis.alias("axis"), on.alias("both_ends_on"), X.side(e, c).alias("side_of_third")).groupBy("axis", "both_ends_on", "side_of_third").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_EDGES = (
+    PLANES
+    + """, d as (select *, bx - ax as dx, "by" - ay as dy, bz - az as dz from p where not degenerate),
+k as (select *,
+  (dy <> 0 or dz <> 0) and (dz * nc + dy * nb <> 0 or dy * na <> 0 or dz * na <> 0) as ok0,
+  (dx <> 0 or dz <> 0) and (dx * nb <> 0 or dx * na + dz * nc <> 0 or dz * nb <> 0) as ok1,
+  (dx <> 0 or dy <> 0) and (dx * nc <> 0 or dy * nc <> 0 or dy * nb + dx * na <> 0) as ok2 from d),
+a as (select *, case when ok0 then 0 when ok1 then 1 when ok2 then 2 end as axis from k)
+select axis, true as both_ends_on, cast(sign(case axis when 0 then dz * (cy - ay) - dy * (cz - az) when 1 then -dz * (cx - ax) + dx * (cz - az) else dy * (cx - ax) - dx * (cy - ay) end) as integer) as side_of_third, count(*) as n
+from a group by 1, 2, 3"""
+)
+
+PART_BOXES = """select cast(p_partkey as bigint) as mesh_id, k as part,
+  cast(p_partkey % 50 + 100 * k as bigint) as lx, cast(p_size as bigint) as ly, cast(p_partkey % 7 as bigint) as lz,
+  cast(p_partkey % 50 + 100 * k + 1 + p_size as bigint) as hx, cast(p_size + 1 + p_partkey % 5 as bigint) as hy, cast(p_partkey % 7 + 3 as bigint) as hz
+  from {source} where k <= p_size % 3"""
+
+
+def _part_boxes(spark, sf):
+    part = _t(spark, sf, "part").withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    return spark.sql(PART_BOXES, source=part)
+
+
+DUCK_BOXES = PART_BOXES.format(source="part, (values (0), (1), (2)) as ks(k)")
+
+
+def mesh_topology(spark, sf):
+    _, t = templates.box_mesh(_part_boxes(spark, sf))
+    return mesh.topology(t).select("mesh_id", *[F.col(c).cast("bigint").alias(c) for c in ("v", "e", "f", "components", "chi", "genus", "deficient", "excess", "odd", "max_degree", "extra_fans")], "edge_manifold", "vertex_manifold", "oriented", "no_degenerate", "chi_even", "ok")
+
+
+SQL_TOPOLOGY = f"""with b as ({DUCK_BOXES}), m as (select mesh_id, cast(count(*) as bigint) as k from b group by 1)
+select mesh_id, 8 * k as v, 18 * k as e, 12 * k as f, k as components, 2 * k as chi, cast(0 as bigint) as genus, cast(0 as bigint) as deficient, cast(0 as bigint) as excess, cast(0 as bigint) as odd,
+cast(2 as bigint) as max_degree, cast(0 as bigint) as extra_fans, true as edge_manifold, true as vertex_manifold, true as oriented, true as no_degenerate, true as chi_even, true as ok from m"""
+DUCK_TEMPLATE = "(values " + ", ".join(f"({t}, {a}, {b}, {c})" for t, (a, b, c) in enumerate(templates.BOX_TRIANGLES)) + ") as tt(t, a, b, c)"
+
+
+def open_meshes(spark, sf):
+    """Meshes that have lost triangles: closed or not, and their edges by degree."""
+    _, t = templates.box_mesh(_part_boxes(spark, sf))
+    t = t.where("(mesh_id + tid) % 50 <> 0")
+    e = mesh.edges(t).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("e"), F.count_if(F.col("degree") == 1).alias("deficient"), F.sum(F.abs("boundary")).alias("boundary"))
+    return mesh.boundary_is_zero(t).join(e, "mesh_id")
+
+
+SQL_OPEN = f"""with b as ({DUCK_BOXES}), t as (select mesh_id, part * 12 + t as tid, part * 8 + a as v0, part * 8 + b as v1, part * 8 + c as v2 from b, {DUCK_TEMPLATE} where (mesh_id + part * 12 + t) % 50 <> 0),
+d as (select mesh_id, v0 as p, v1 as q from t union all select mesh_id, v1, v2 from t union all select mesh_id, v2, v0 from t),
+e as (select mesh_id, least(p, q) as u, greatest(p, q) as v, count(*) as degree, sum(case when p < q then 1 else -1 end) as boundary from d group by 1, 2, 3)
+select mesh_id, bool_and(boundary = 0) as closed, count(*) as e, count(*) filter (degree = 1) as deficient, cast(sum(abs(boundary)) as bigint) as boundary from e group by 1"""
+
+
+def mesh_volume(spark, sf):
+    f = templates.box_triangles(_part_boxes(spark, sf))
+    v = mesh.signed_volume6(f)
+    return v.select("mesh_id", F.col("volume6").cast("bigint").alias("volume6"), "outward")
+
+
+SQL_MESH_VOLUME = f"with b as ({DUCK_BOXES}) select mesh_id, cast(6 * sum((hx - lx) * (hy - ly) * (hz - lz)) as bigint) as volume6, true as outward from b group by 1"
+
+ORDER_BOXES = """select cast(o_orderkey as bigint) as id, cast(o_custkey % 20 as bigint) as scene, cast(o_orderkey % 2 as int) as operand,
+  cast(o_custkey * 7 % 900 - 512 as bigint) as lx, cast(o_orderkey * 11 % 900 - 512 as bigint) as ly, cast(o_custkey * 13 % 900 - 512 as bigint) as lz,
+  cast(o_custkey * 7 % 900 - 512 + 2 + o_orderkey % 60 as bigint) as hx, cast(o_orderkey * 11 % 900 - 512 + 2 + o_custkey % 60 as bigint) as hy, cast(o_custkey * 13 % 900 - 512 + 8 + o_orderkey % 40 as bigint) as hz
+  from {orders}"""
+
+
+def _order_boxes(spark, sf):
+    return spark.sql(ORDER_BOXES, orders=_t(spark, sf, "orders"))
+
+
+DUCK_ORDERS = ORDER_BOXES.format(orders="orders")
+
+
+def cell_assignment(spark, sf):
+    """Items by cell at depth 3 of b = 10: owned (half open) and present (closed)."""
+    items = _order_boxes(spark, sf)
+    own = octree.assign(items, 3, 10).groupBy("ci", "cj", "ck").agg(F.count(F.lit(1)).alias("owned"))
+    there = octree.assign(items, 3, 10, closed=True).groupBy("ci", "cj", "ck").agg(F.count(F.lit(1)).alias("present"))
+    return there.join(own, ["ci", "cj", "ck"], "left").select("ci", "cj", "ck", F.coalesce("owned", F.lit(0)).alias("owned"), "present")
+
+
+SQL_CELLS = f"""with o as ({DUCK_ORDERS}), i as (select unnest(range(8)) as ci), j as (select unnest(range(8)) as cj), k as (select unnest(range(8)) as ck),
+m as (select ci, cj, ck, lx, ly, lz, ci * 128 - 512 as bx, cj * 128 - 512 as b_y, ck * 128 - 512 as bz, hx, hy, hz from o, i, j, k
+  where hx >= ci * 128 - 512 and lx <= ci * 128 - 384 and hy >= cj * 128 - 512 and ly <= cj * 128 - 384 and hz >= ck * 128 - 512 and lz <= ck * 128 - 384)
+select ci, cj, ck, count(*) filter (lx < bx + 128 and ly < b_y + 128 and lz < bz + 128) as owned, count(*) as present from m group by 1, 2, 3"""
+
+
+def adaptive_leaves(spark, sf):
+    """Leaves of an adaptive octree (both operands: over 12 items; one: over 8), down to depth 3."""
+    policy = octree.Subdivision(max_depth=3, uniform=False, leaf_threshold=12, single_src_sq=64)
+    got = octree.leaves(_order_boxes(spark, sf), policy, 10)
+    return got.groupBy("scene", "depth").agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("items"))
+
+
+def _level_sql(depth: int) -> str:
+    step = 1 << (10 - depth)
+    if depth == 0:
+        items = "select o.*, 0 as ci, 0 as cj, 0 as ck from o"
+    else:
+        items = f"""select i.* exclude (ci, cj, ck), i.ci * 2 + dx as ci, i.cj * 2 + dy as cj, i.ck * 2 + dz as ck from i{depth - 1} i join c{depth - 1} c on c.split and i.scene = c.scene and i.ci = c.ci and i.cj = c.cj and i.ck = c.ck,
+ (values (0), (1)) as x(dx), (values (0), (1)) as y(dy), (values (0), (1)) as z(dz)
+ where hx >= (i.ci * 2 + dx) * {step} - 512 and lx < (i.ci * 2 + dx + 1) * {step} - 512 and hy >= (i.cj * 2 + dy) * {step} - 512 and ly < (i.cj * 2 + dy + 1) * {step} - 512 and hz >= (i.ck * 2 + dz) * {step} - 512 and lz < (i.ck * 2 + dz + 1) * {step} - 512"""
+    split = "false" if depth == 3 else "case when min(operand) <> max(operand) then count(*) > 12 else count(*) * count(*) > 64 end"
+    return f"i{depth} as ({items}), c{depth} as (select scene, ci, cj, ck, count(*) as n, {split} as split from i{depth} group by 1, 2, 3, 4)"
+
+
+SQL_LEAVES = f"with o as ({DUCK_ORDERS}), " + ", ".join(_level_sql(d) for d in range(4)) + " select scene, depth, count(*) as leaves, cast(sum(n) as bigint) as items from (" + " union all ".join(f"select scene, {d} as depth, n from c{d} where not split" for d in range(4)) + ") group by 1, 2"
+
+
+def plane_culling(spark, sf):
+    """Planes of triangles against the cells of a 4 x 4 x 4 grid over [0, 4)^3 scaled by 4: how many cells each plane crosses."""
+    df = _sql(spark, sf, SMALL)
+    scaled = df.withColumns({f"{p}{c}": F.col(f"{p}{c}") * 4 for p in "abc" for c in "xyz"})
+    plane = X.plane_of(P("a", 6), P("b", 6), P("c", 6))
+    for c in ("i", "j", "k"):
+        scaled = scaled.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(3))))
+    box = (tuple(X.Exact((F.col(c) * 4).cast("bigint"), 6) for c in "ijk"), tuple(X.Exact((F.col(c) * 4 + 4).cast("bigint"), 6) for c in "ijk"))
+    hit = ~X.is_degenerate(plane) & X.plane_crosses_box(plane, box)
+    return scaled.where(hit).groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_CULLING = (
+    PLANES
+    + """, c as (select i, j, k, na * 4 * i * 4 + nb * 4 * j * 4 + nc * 4 * k * 4 + nd * 16 as v0, 16 * na as sa, 16 * nb as sb, 16 * nc as sc
+  from p, (select unnest(range(4)) as i), (select unnest(range(4)) as j), (select unnest(range(4)) as k) where not degenerate)
+select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, count(*) as n from c
+where v0 + least(sa, 0) + least(sb, 0) + least(sc, 0) <= 0 and v0 + greatest(sa, 0) + greatest(sb, 0) + greatest(sc, 0) >= 0 group by 1, 2, 3"""
+).replace("nd * 16 as v0", "nd * 4 * 4 as v0")
+
+
+def box_overlaps(spark, sf):
+    """Overlapping pairs of boxes in a scene."""
+    pairs = mesh.grid_pairs(_order_boxes(spark, sf), "id", 64, ["scene"])
+    return pairs.groupBy(F.col("a.scene").alias("scene")).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("a.id") + F.col("b.id")).alias("ids"))
+
+
+SQL_OVERLAPS = f"""with o as ({DUCK_ORDERS}) select a.scene, count(*) as pairs, cast(sum(a.id + b.id) as bigint) as ids from o a join o b on a.scene = b.scene and a.id < b.id
+and a.lx <= b.hx and b.lx <= a.hx and a.ly <= b.hy and b.ly <= a.hy and a.lz <= b.hz and b.lz <= a.hz group by 1"""
+
+SOLIDS = """select cast(s_suppkey % 10 as bigint) as scene, cast((s_suppkey // 10) % 3 as int) as src, cast(s_suppkey as bigint) as id,
+  cast(s_suppkey * 37 % 400 * 2 as bigint) as lx, cast(s_suppkey * 53 % 400 * 2 as bigint) as ly, cast(s_suppkey * 71 % 400 * 2 as bigint) as lz,
+  cast(s_suppkey * 37 % 400 * 2 + 150 as bigint) as hx, cast(s_suppkey * 53 % 400 * 2 + 200 as bigint) as hy, cast(s_suppkey * 71 % 400 * 2 + 120 + s_suppkey % 7 * 20 as bigint) as hz
+  from {supplier}"""
+POINTS = """select cast(c_custkey as bigint) as pid, cast(c_custkey % 10 as bigint) as scene,
+  cast(c_custkey * 17 % 500 * 2 {plus} as bigint) as px, cast(c_custkey * 29 % 500 * 2 {plus} as bigint) as py, cast(c_custkey * 43 % 500 * 2 {plus} as bigint) as pz from {customer}"""
+
+
+def _scene(spark, sf, plus="+ 1"):
+    solids = spark.sql(SOLIDS.replace("//", "div"), supplier=_t(spark, sf, "supplier"))
+    points = spark.sql(POINTS.replace("{plus}", plus), customer=_t(spark, sf, "customer"))
+    return points, templates.box_triangles(solids)
+
+
+EXPRESSION = (Indicator.source(0) | Indicator.source(1)) & ~Indicator.source(2)
+
+
+def point_winding(spark, sf):
+    """Winding number of points about each source (boxes of a source may overlap: it counts them)."""
+    points, tris = _scene(spark, sf)
+    return winding.windings(points, tris, [0, 1, 2], 12, 128).select("pid", "w0", "w1", "w2")
+
+
+def csg_membership(spark, sf):
+    """Points in (A or B) without C."""
+    points, tris = _scene(spark, sf)
+    return winding.membership(points, tris, EXPRESSION, 12, 128).select("pid", "member")
+
+
+SQL_WINDING = f"""with s as ({SOLIDS.format(supplier="supplier")}), p as ({POINTS.format(plus="+ 1", customer="customer")}),
+w as (select p.pid, {", ".join(f"count(*) filter (s.src = {k} and px > lx and px < hx and py > ly and py < hy and pz > lz and pz < hz) as w{k}" for k in range(3))}
+  from p left join s on p.scene = s.scene group by 1) """
+SQL_POINT = SQL_WINDING + "select pid, w0, w1, w2 from w"
+SQL_CSG = SQL_WINDING + "select pid, (w0 > 0 or w1 > 0) and not w2 > 0 as member from w"
+
+
+def lattice_ties(spark, sf):
+    """Points on the solids' own lattice: rays through edges and corners are decided by the symbolic shift, surfaces by an exact test."""
+    points, tris = _scene(spark, sf, "")
+    tris = tris.withColumn("src", F.lit(0))
+    w = winding.windings(points, tris, [0], 12, 128).select("pid", "scene", "px", "py", "pz", "w0")
+    return winding.on_boundary(w, tris, 12, 128).select("pid", "w0", "on_surface")
+
+
+SQL_TIES = f"""with s as ({SOLIDS.format(supplier="supplier")}), p as ({POINTS.format(plus="", customer="customer")})
+select p.pid, count(*) filter (px > lx and px <= hx and py >= ly and py < hy and pz >= lz and pz < hz) as w0,
+coalesce(bool_or(px between lx and hx and py between ly and hy and pz between lz and hz and (px in (lx, hx) or py in (ly, hy) or pz in (lz, hz))), false) as on_surface
+from p left join s on p.scene = s.scene group by 1"""
+
+
+def reachability(spark, sf):
+    """Three-valued reachability: sources that a row does not know are NULL."""
+    li = _t(spark, sf, "lineitem")
+    w = lambda k, c: F.when(F.pmod(c, F.lit(3)) == 2, F.lit(None)).otherwise(F.pmod(c, F.lit(3))).cast("int").alias(f"w{k}")
+    rows = li.select(w(0, F.col("l_partkey")), w(1, F.col("l_suppkey")), w(2, F.col("l_linenumber")))
+    return rows.select(EXPRESSION.column(lambda k: F.col(f"w{k}")).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_REACH = """with w as (select case when l_partkey % 3 <> 2 then l_partkey % 3 end as w0, case when l_suppkey % 3 <> 2 then l_suppkey % 3 end as w1, case when l_linenumber % 3 <> 2 then l_linenumber % 3 end as w2 from lineitem)
+select (w0 > 0 or w1 > 0) and not w2 > 0 as value, count(*) as n from w group by 1"""
+
+MEET = """select l_orderkey, l_linenumber, cast(l_partkey % 41 - 20 as bigint) as pa, cast(l_suppkey % 37 - 18 as bigint) as pb, cast(cast(l_quantity as bigint) % 29 - 14 as bigint) as pc, cast(l_orderkey % 1999 - 999 as bigint) as pd,
+  cast(l_orderkey % 31 - 15 as bigint) as qa, cast((l_partkey + l_linenumber) % 43 - 21 as bigint) as qb, cast(l_linenumber - 4 as bigint) as qc, cast(l_partkey % 1777 - 888 as bigint) as qd,
+  cast((l_suppkey + l_linenumber) % 23 - 11 as bigint) as ra, cast(cast(round(l_discount * 100) as bigint) - 5 as bigint) as rb, cast(l_orderkey % 19 - 9 as bigint) as rc, cast(l_suppkey % 1555 - 777 as bigint) as rd,
+  cast(l_partkey % 13 - 6 as bigint) as sa, cast(l_orderkey % 11 - 5 as bigint) as sb, cast(l_suppkey % 17 - 8 as bigint) as sc, cast(l_orderkey % 501 - 250 as bigint) as sd from {lineitem}"""
+
+
+def _plane(p: str):
+    return tuple(X.Exact(F.col(f"{p}{c}"), 7 if c != "d" else 12) for c in "abcd")
+
+
+def plane_meets(spark, sf):
+    """The point of three planes, and its side of a fourth and of the sum of the last two."""
+    df = spark.sql(MEET, lineitem=_t(spark, sf, "lineitem"))
+    p, q, r, s = map(_plane, "pqrs")
+    v = X.meet3(p, q, r)
+    real = v[3].sign() != 0
+    return df.select(v[3].sign().alias("w"), F.when(real, X.side_h(s, v)).alias("side"), F.when(real, X.side_h(X.plane_sum(r, s), v)).alias("side_sum"), F.when(real, X.compare_h_int(v, 0, X.as_exact(3))).alias("x_to_3"), X.side_h(p, v).alias("own")).groupBy("w", "side", "side_sum", "x_to_3", "own").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_MEETS = (
+    "with m as ("
+    + MEET.format(lineitem="lineitem")
+    + """), v as (select *, pa * (qb * rc - qc * rb) + pb * (qc * ra - qa * rc) + pc * (qa * rb - qb * ra) as w,
+  -pd * (qb * rc - qc * rb) + pb * (qc * -rd + qd * rc) + pc * (-qd * rb + qb * rd) as x,
+  pa * (-qd * rc + qc * rd) + -pd * (qc * ra - qa * rc) + pc * (qa * -rd + qd * ra) as y,
+  pa * (qb * -rd + qd * rb) + pb * (-qd * ra + qa * rd) + -pd * (qa * rb - qb * ra) as z from m)
+select cast(sign(w) as integer) as w, case when w <> 0 then cast(sign(sa * x + sb * y + sc * z + sd * w) * sign(w) as integer) end as side,
+case when w <> 0 then cast(sign((ra + sa) * x + (rb + sb) * y + (rc + sc) * z + (rd + sd) * w) * sign(w) as integer) end as side_sum,
+case when w <> 0 then cast(sign(x - 3 * w) * sign(w) as integer) end as x_to_3, 0 as own, count(*) as n from v group by 1, 2, 3, 4, 5"""
+)
+
+
+def exact_arithmetic(spark, sf):
+    """Bounded arithmetic: sums, differences, products, shifts and bit lengths."""
+    df = _sql(spark, sf, WIDE_POINTS)
+    x, y, z = (X.coordinate(c, B) for c in "xyz")
+    s = lambda e: F.sum(e.at(127).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")
+    return df.groupBy("l_returnflag").agg(
+        s(x * y * z).alias("mul"), s(x * y - z * z).alias("sub"), s((x + y) * (y - z)).alias("add_mul"), s((x * y * z).shift_right(7)).alias("shr"), s(x.shift_left(9)).alias("shl"), s(-x * x).alias("neg"),
+        F.sum(x.min_bits()).alias("bits"), F.sum(x.compare(y)).alias("cmp"), s(X.det2(x, y, z, x)).alias("det2"),
+    )
+
+
+SQL_ARITHMETIC = (
+    "with p as ("
+    + WIDE_POINTS.format(lineitem="lineitem")
+    + """), h as (select *, cast(x as hugeint) as hx, cast(y as hugeint) as hy, cast(z as hugeint) as hz from p)
+select l_returnflag, cast(sum(hx * hy * hz) as varchar) as mul, cast(sum(hx * hy - hz * hz) as varchar) as sub, cast(sum((hx + hy) * (hy - hz)) as varchar) as add_mul,
+cast(sum((hx * hy * hz - ((hx * hy * hz % 128) + 128) % 128) // 128) as varchar) as shr, cast(sum(hx * 512) as varchar) as shl, cast(sum(-hx * hx) as varchar) as neg,
+cast(sum(case when x in (0, -1) then 1 else length(ltrim(bin(case when x < 0 then -(x + 1) else x end), '0')) + 1 end) as bigint) as bits, cast(sum(sign(x - y)) as bigint) as cmp, cast(sum(hx * hx - hy * hz) as varchar) as det2
+from h group by 1"""
+)
+
+
+def quantised(spark, sf):
+    """Customers as points of one model per segment, quantised to b = 21: drift-free grid coordinates and welding."""
+    c = _t(spark, sf, "customer")
+    raw = c.select(F.col("c_mktsegment").alias("model_id"), F.col("c_custkey").alias("vid"), (F.col("c_acctbal") / 8).alias("x"), (F.col("c_nationkey") * 0.5).alias("y"), (F.col("c_custkey") % 64).cast("double").alias("z"))
+    q = quantise.quantise_vertices(raw, B)
+    return q.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.sum("y").alias("sy"), F.sum("z").alias("sz"), F.count_if(F.col("vid") != F.col("weld")).alias("merged"))
+
+
+SQL_QUANTISED = """with r as (select c_mktsegment as model_id, c_custkey as vid, c_acctbal / 8 as x, c_nationkey * 0.5::double as y, cast(c_custkey % 64 as double) as z from customer),
+m as (select model_id, min(x) as ax, max(x) as bx, min(y) as ay, max(y) as b_y, min(z) as az, max(z) as bz from r group by 1),
+s as (select *, 0.6::double * 1048575.0::double / greatest(bx - ax, b_y - ay, bz - az) as scale from m),
+q as (select model_id, vid, cast(round_even((x - (ax + bx) / 2) * scale, 0) as bigint) as x, cast(round_even((y - (ay + b_y) / 2) * scale, 0) as bigint) as y, cast(round_even((z - (az + bz) / 2) * scale, 0) as bigint) as z from r join s using (model_id)),
+w as (select *, min(vid) over (partition by model_id, x, y, z) as weld from q)
+select model_id, count(*) as n, min(x) as lx, max(x) as hx, cast(sum(y) as bigint) as sy, cast(sum(z) as bigint) as sz, count(*) filter (vid <> weld) as merged from w group by 1"""
+
+
+def model_strata(spark, sf):
+    """Model selection: filter by properties, five strata by size, the first 59 of each in a seeded order."""
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("file_id"), (F.col("p_partkey") * 37 % 5000 + 1).alias("num_faces"), (F.col("p_size") % 4 != 0).alias("solid"))
+    return quantise.stratify(p.where("solid"), "num_faces", "file_id", 5, 59).select("file_id", "num_faces", "stratum", "rank")
+
+
+SQL_STRATA = """with p as (select p_partkey as file_id, p_partkey * 37 % 5000 + 1 as num_faces from part where p_size % 4 <> 0),
+s as (select *, cast(ntile(5) over (order by num_faces, file_id) as integer) as stratum from p),
+r as (select *, cast(row_number() over (partition by stratum order by (file_id * 2654435761) % 4294967296, file_id) as integer) as rank from s)
+select file_id, num_faces, stratum, rank from r where rank <= 59"""
+
+QUERIES = {
+    "solid_volume": solid_volume, "orient_signs": orient_signs, "plane_sides": plane_sides, "plane_dictionary": plane_dictionary, "plane_pairs": plane_pairs,
+    "edge_planes": edge_planes, "mesh_topology": mesh_topology, "open_meshes": open_meshes, "mesh_volume": mesh_volume, "cell_assignment": cell_assignment,
+    "adaptive_leaves": adaptive_leaves, "plane_culling": plane_culling, "box_overlaps": box_overlaps, "point_winding": point_winding, "csg_membership": csg_membership,
+    "lattice_ties": lattice_ties, "reachability": reachability, "plane_meets": plane_meets, "exact_arithmetic": exact_arithmetic, "quantised": quantised, "model_strata": model_strata,
+}
+ORACLE_SQL = {
+    "solid_volume": SQL_VOLUME, "orient_signs": SQL_ORIENT, "plane_sides": SQL_SIDES, "plane_dictionary": SQL_DICTIONARY, "plane_pairs": SQL_PAIRS,
+    "edge_planes": SQL_EDGES, "mesh_topology": SQL_TOPOLOGY, "open_meshes": SQL_OPEN, "mesh_volume": SQL_MESH_VOLUME, "cell_assignment": SQL_CELLS,
+    "adaptive_leaves": SQL_LEAVES, "plane_culling": SQL_CULLING, "box_overlaps": SQL_OVERLAPS, "point_winding": SQL_POINT, "csg_membership": SQL_CSG,
+    "lattice_ties": SQL_TIES, "reachability": SQL_REACH, "plane_meets": SQL_MEETS, "exact_arithmetic": SQL_ARITHMETIC, "quantised": SQL_QUANTISED, "model_strata": SQL_STRATA,
+}
+ORACLE_SQL = {k: _q(v) for k, v in ORACLE_SQL.items()}
