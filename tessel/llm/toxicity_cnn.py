@@ -122,7 +122,7 @@ class Cnn:
         z = self.logits(ids, off).astype(float) + self.shift[lang]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def fit(self, ids: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 9) -> None:
+    def fit(self, ids: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int = 9, batch: int = 64, rate: float = 0.01, seed: int = 9) -> None:
         rng = np.random.default_rng(seed)
         weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
         dense = [*self.W, *self.b, self.o, self.c]
@@ -236,7 +236,7 @@ def learn(known: DataFrame) -> Cnn:
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 12000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``.  ``labels``: doc_id, label; the caller keeps held-out rows away from it."""
     chosen = labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
     model = learn(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most ``sample`` rows of two numbers
