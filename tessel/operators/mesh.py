@@ -71,7 +71,7 @@ def face_components(triangles: DataFrame, max_rounds: int = 64, every: int = 4)
     links = checkpoint(links)
     label = triangles.select("mesh_id", "tid", F.col("tid").alias("component"))
     for i in range(max_rounds):
-        near = links.join(label, (links["mesh_id"] == label["mesh_id"]) & (links["b"] == label["tid"])).select(links["mesh_id"], links["a"].alias("tid"), "component")
+        near = links.join(label.withColumnRenamed("tid", "b"), ["mesh_id", "b"]).select("mesh_id", F.col("a").alias("tid"), "component")
         low = near.groupBy("mesh_id", "tid").agg(F.min("component").alias("m"))
         new = label.join(low, ["mesh_id", "tid"], "left").select("mesh_id", "tid", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         up = new.select("mesh_id", F.col("tid").alias("component"), F.col("component").alias("root"))

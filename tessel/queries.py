@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exact as X
-from .operators import mesh, octree, planes, winding
+from .operators import mesh, octree, planes, solids, winding
 from .plans.indicator import Indicator
 from .sources import quantise, templates
 
@@ -436,16 +436,142 @@ s as (select *, cast(ntile(5) over (order by num_faces, file_id) as integer) as
 r as (select *, cast(row_number() over (partition by stratum order by (file_id * 2654435761) % 4294967296, file_id) as integer) as rank from s)
 select file_id, num_faces, stratum, rank from r where rank <= 59"""
 
+PAIRS = """select cast(s_suppkey as bigint) as scene, cast(s_suppkey * 37 % 40 as bigint) as lx, cast(s_suppkey * 53 % 40 as bigint) as ly, cast(s_suppkey * 71 % 40 as bigint) as lz,
+  cast(s_suppkey * 37 % 40 + 30 as bigint) as hx, cast(s_suppkey * 53 % 40 + 25 as bigint) as hy, cast(s_suppkey * 71 % 40 + 20 as bigint) as hz from {supplier}"""
+# The second and third box of a scene: moved by amounts that put faces, edges and corners together in some scenes.
+MOVES = ((0, 0, 0), (("s_suppkey % 4 * 10", "s_suppkey % 3 * 5", "s_suppkey % 5 * 5")), (("15", "s_suppkey % 2 * 10 - 5", "s_suppkey % 6 * 4 - 8")))
+
+
+def _moved(k: int) -> str:
+    m = MOVES[k]
+    text = PAIRS
+    for c, d in zip("xyz", m, strict=True):
+        text = text.replace(f" as bigint) as l{c}", f" + {d} as bigint) as l{c}").replace(f" as bigint) as h{c}", f" + {d} as bigint) as h{c}")
+    return text
+
+
+def _box_soup(spark, sf, k, depth=0):
+    rows = spark.sql(_moved(k), supplier=_t(spark, sf, "supplier"))
+    tris = templates.box_triangles(rows).select("scene", "tid", "v0", "v1", "v2", *mesh.CORNERS)
+    return solids.from_mesh(tris, solids.Options(b=9, depth=depth))
+
+
+def _volume(soup, name):
+    return solids.volume6(soup).select("scene", F.col("volume6").cast("bigint").alias(name))
+
+
+def boolean_volume(spark, sf):
+    """Six times the volume of union, intersection and difference of two boxes a scene, on a one-level octree."""
+    a, b = _box_soup(spark, sf, 0, 1), _box_soup(spark, sf, 1, 1)
+    out = spark.sql("select cast(s_suppkey as bigint) as scene from {supplier}", supplier=_t(spark, sf, "supplier"))
+    for op in ("union", "intersection", "difference"):
+        out = out.join(_volume(solids.boolean(a, b, op), op), "scene", "left").withColumn(op, F.coalesce(op, F.lit(0)))
+    return out
+
+
+_DUCK = [_moved(k).format(supplier="supplier") for k in range(3)]
+_BOTH = "greatest(0, least(a.h{c}, {o}.h{c}) - greatest(a.l{c}, {o}.l{c}))"
+
+
+def _inter(*names: str) -> str:
+    def list_of(f: str, k: str) -> str:
+        return f"{f}({', '.join(n + '.' + k for n in names)})"
+
+    return " * ".join(f"greatest(0, {list_of('least', 'h' + c)} - {list_of('greatest', 'l' + c)})" for c in "xyz")
+
+
+_A, _B2, _C = ("(" + " * ".join(f"({n}.h{c} - {n}.l{c})" for c in "xyz") + ")" for n in "abc")
+SQL_BOOLEAN = f"""with a as ({_DUCK[0]}), b as ({_DUCK[1]})
+select scene, cast(6 * ({_A} + {_B2} - {_inter("a", "b")}) as bigint) as union, cast(6 * ({_inter("a", "b")}) as bigint) as intersection, cast(6 * ({_A} - {_inter("a", "b")}) as bigint) as difference from a join b using (scene)""".replace(" as union,", ' as "union",')
+
+
+def nary_volume(spark, sf):
+    """(A or B) without C, chained, and (A without C) or (B without C): the distributive law, with the analytic volume."""
+    a, b, c = (_box_soup(spark, sf, k) for k in range(3))
+    left = solids.difference(solids.union(a, b), c)
+    right = solids.union(solids.difference(a, c), solids.difference(b, c))
+    return _volume(left, "left_volume").join(_volume(right, "right_volume"), "scene", "full").select("scene", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("left_volume", "right_volume")])
+
+
+_LAW = f"6 * ({_A} + {_B2} - {_inter('a', 'b')} - {_inter('a', 'c')} - {_inter('b', 'c')} + {_inter('a', 'b', 'c')})"
+SQL_NARY = f"""with a as ({_DUCK[0]}), b as ({_DUCK[1]}), c as ({_DUCK[2]}), v as (select scene, cast({_LAW} as bigint) as v from a join b using (scene) join c using (scene))
+select scene, v as left_volume, v as right_volume from v where v > 0"""
+
+
+def self_union_volume(spark, sf):
+    """Two overlapping boxes in one mesh: self-union counts the overlap once."""
+    rows = [spark.sql(_moved(k), supplier=_t(spark, sf, "supplier")).withColumn("part", F.lit(k)) for k in range(2)]
+    t = templates.box_triangles(rows[0].unionByName(rows[1]))
+    t = t.select("scene", (F.col("tid") + F.col("part") * 12).alias("tid"), *[(F.col(f"v{k}") + F.col("part") * 8).alias(f"v{k}") for k in range(3)], *mesh.CORNERS)
+    soup = solids.from_mesh(t, solids.Options(b=9))
+    return _volume(solids.self_union(soup), "volume")
+
+
+SQL_SELF = f"with a as ({_DUCK[0]}), b as ({_DUCK[1]}) select scene, cast(6 * ({_A} + {_B2} - {_inter('a', 'b')}) as bigint) as volume from a join b using (scene)"
+
+
+def _tetra_soup(spark, sf, k):
+    n = "s_suppkey"
+    m = (0, 7)[k]
+    rows = spark.sql(
+        f"""select cast({n} as bigint) as scene, cast({n} % 5 + {m} as bigint) as ax, cast({n} % 3 + {k} as bigint) as ay, cast(0 + {k} as bigint) as az, cast(40 + {n} % 11 as bigint) as bx, cast({n} % 7 - {m} as bigint) as b_y, cast(3 + {k} as bigint) as bz,
+        cast({n} % 13 + {k} as bigint) as cx, cast(35 + {n} % 4 as bigint) as cy, cast(-2 as bigint) as cz, cast(12 - {k} as bigint) as dx, cast(9 + {n} % 6 as bigint) as dy, cast(44 - {m} as bigint) as dz from {{supplier}}""",
+        supplier=_t(spark, sf, "supplier"),
+    )
+    t = templates.tetra_triangles(rows, [("ax", "ay", "az"), ("bx", "b_y", "bz"), ("cx", "cy", "cz"), ("dx", "dy", "dz")])
+    return solids.from_mesh(t.select("scene", "tid", "v0", "v1", "v2", *mesh.CORNERS), solids.Options(b=9))
+
+
+def slanted_identities(spark, sf):
+    """Slanted solids: vol(A or B) - vol(A\\B) - vol(B\\A) - vol(A and B), and vol(A or B) + vol(A and B) - vol(A) - vol(B), exact rationals as text."""
+    from fractions import Fraction
+
+    a, b = _tetra_soup(spark, sf, 0), _tetra_soup(spark, sf, 1)
+    parts = {"u": solids.union(a, b), "i": solids.intersection(a, b), "d": solids.difference(a, b), "e": solids.difference(b, a), "a": a, "b": b}
+    out = None
+    for k, s in parts.items():
+        v = solids.volume6(s).select("scene", F.col("volume6").alias(k))
+        out = v if out is None else out.join(v, "scene", "full")
+    names = list(parts)
+    out = out.select("scene", *[F.coalesce(k, F.lit("0")).alias(k) for k in names])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            f = [{k: Fraction(r[k]) for k in names} for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["scene"] for r in rows], pa.int64()), pa.array([str(x["u"] - x["d"] - x["e"] - x["i"]) for x in f]), pa.array([str(x["u"] + x["i"] - x["a"] - x["b"]) for x in f]), pa.array([x["i"] > 0 for x in f])], names=["scene", "identity1", "identity2", "meets"])
+
+    return out.mapInArrow(run, "scene long, identity1 string, identity2 string, meets boolean").select("scene", "identity1", "identity2")
+
+
+SQL_SLANTED = "select cast(s_suppkey as bigint) as scene, '0' as identity1, '0' as identity2 from supplier"
+
+
+def boolean_mesh(spark, sf):
+    """Differences leave as meshes: every edge balanced, and the mesh's own exact volume."""
+    a, b = _box_soup(spark, sf, 0), _box_soup(spark, sf, 1)
+    v, t = solids.to_mesh(solids.difference(a, b))
+    e = mesh.edges(t).groupBy("mesh_id").agg(F.bool_and(F.col("boundary") == 0).alias("closed"))
+    vol = solids.mesh_volume6(v, t).select("mesh_id", F.col("volume6").cast("bigint").alias("volume"))
+    return e.join(vol, "mesh_id")
+
+
+SQL_BOOLEAN_MESH = f"with a as ({_DUCK[0]}), b as ({_DUCK[1]}), v as (select scene, cast(6 * ({_A} - {_inter('a', 'b')}) as bigint) as v from a join b using (scene)) select scene as mesh_id, true as closed, v as volume from v where v > 0"
+
 QUERIES = {
     "solid_volume": solid_volume, "orient_signs": orient_signs, "plane_sides": plane_sides, "plane_dictionary": plane_dictionary, "plane_pairs": plane_pairs,
     "edge_planes": edge_planes, "mesh_topology": mesh_topology, "open_meshes": open_meshes, "mesh_volume": mesh_volume, "cell_assignment": cell_assignment,
     "adaptive_leaves": adaptive_leaves, "plane_culling": plane_culling, "box_overlaps": box_overlaps, "point_winding": point_winding, "csg_membership": csg_membership,
     "lattice_ties": lattice_ties, "reachability": reachability, "plane_meets": plane_meets, "exact_arithmetic": exact_arithmetic, "quantised": quantised, "model_strata": model_strata,
+    "boolean_volume": boolean_volume, "nary_volume": nary_volume, "self_union_volume": self_union_volume, "slanted_identities": slanted_identities, "boolean_mesh": boolean_mesh,
 }
 ORACLE_SQL = {
     "solid_volume": SQL_VOLUME, "orient_signs": SQL_ORIENT, "plane_sides": SQL_SIDES, "plane_dictionary": SQL_DICTIONARY, "plane_pairs": SQL_PAIRS,
     "edge_planes": SQL_EDGES, "mesh_topology": SQL_TOPOLOGY, "open_meshes": SQL_OPEN, "mesh_volume": SQL_MESH_VOLUME, "cell_assignment": SQL_CELLS,
     "adaptive_leaves": SQL_LEAVES, "plane_culling": SQL_CULLING, "box_overlaps": SQL_OVERLAPS, "point_winding": SQL_POINT, "csg_membership": SQL_CSG,
     "lattice_ties": SQL_TIES, "reachability": SQL_REACH, "plane_meets": SQL_MEETS, "exact_arithmetic": SQL_ARITHMETIC, "quantised": SQL_QUANTISED, "model_strata": SQL_STRATA,
+    "boolean_volume": SQL_BOOLEAN, "nary_volume": SQL_NARY, "self_union_volume": SQL_SELF, "slanted_identities": SQL_SLANTED, "boolean_mesh": SQL_BOOLEAN_MESH,
 }
 ORACLE_SQL = {k: _q(v) for k, v in ORACLE_SQL.items()}
