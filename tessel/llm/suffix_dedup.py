@@ -88,66 +88,87 @@ class Column:
 
 
 def columnwise(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted suffixes of the strings data[start:end]: string, suffix length, and common prefix with the suffix before.
+    """Sorted suffixes of the UTF-8 strings data[start:end]: string, suffix length, and common prefix with the suffix before.
 
     Round j inserts the suffixes of length j.  A suffix cS stands after the empty suffixes, at the rank of its c among the
     non-empty symbols of the transform (LF mapping); its common prefix with a neighbour cS' is one more than the smallest common
-    prefix between S and S' in the round before.
+    prefix between S and S' in the round before.  At the end each string's suffixes are read off by walking the mapping.
+    UTF-8 has no byte 255, so symbols are bytes plus one and 0 says that nothing precedes.
     """
     m = len(start)
     size = end - start
+    rounds = int(size.max(initial=0))
+    prefix = np.uint8 if rounds < 255 else np.int32
+    after_last = data.astype(np.uint8) + np.uint8(1) if len(data) else np.zeros(1, np.uint8)
     with tempfile.TemporaryDirectory() as folder:
-        files = [Column(folder, n, k) for n, k in (("bwt", np.uint16), ("lcp", np.int16), ("who", np.int32), ("len", np.int16))]
+        bwt_file, lcp_file = Column(folder, "bwt", np.uint8), Column(folder, "lcp", prefix)
 
         def before(strings: np.ndarray, j: int) -> np.ndarray:
             """Symbol before the suffix of length j; 0 where there is none."""
             more = size[strings] > j
-            return np.where(more, data[np.where(more, end[strings] - j - 1, 0)].astype(np.uint16) + 1, 0) if len(data) else np.zeros(len(strings), np.uint16)
-
-        everyone = np.arange(m)
-        for f, v in zip(files, (before(everyone, 0), np.zeros(m, np.int16), everyone, np.zeros(m, np.int16)), strict=True):
-            f.put(v)
-        place = everyone.copy()
-        for j in range(1, int(size.max(initial=0)) + 1):
-            bwt, lcp, who, length = (f.get() for f in files)
+            return np.where(more, after_last[np.where(more, end[strings] - j - 1, 0)], 0).astype(np.uint8)
+
+        place = np.arange(m)
+        bwt_file.put(before(place, 0))
+        lcp_file.put(np.zeros(m, prefix))
+        for j in range(1, rounds + 1):
+            bwt, lcp = bwt_file.get(), lcp_file.get()
             active = np.flatnonzero(size >= j)
             order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            none = int(np.count_nonzero(bwt == 0))
+            counts = np.bincount(bwt, minlength=257)
+            first = np.concatenate([[0], np.cumsum(counts)])
+            none = int(counts[0])
             i = place[active]
-            r = rank[i]
+            symbol = bwt[i].astype(np.int64)
+            # rank among equal symbols: the place in the order, found symbol by symbol
+            by_symbol = np.lexsort((i, symbol))
+            i, symbol, active = i[by_symbol], symbol[by_symbol], active[by_symbol]
+            r = np.searchsorted(_keyed(bwt, order), symbol * (len(bwt) + 1) + i)
             to = m + r - none
             n = m + len(bwt) - none
-            is_new = np.zeros(n, bool)
-            is_new[to] = True
+            fresh = np.zeros(n, bool)
+            fresh[to] = True
+            old = ~fresh
             padded = np.concatenate([lcp, np.zeros(1, lcp.dtype)])
-
-            def least(low: np.ndarray, high: np.ndarray, padded=padded) -> np.ndarray:
-                """Smallest common prefix in (low, high]."""
-                if not len(low):
-                    return np.zeros(0, np.int16)
-                o = np.argsort(low)
-                pairs = np.stack([low[o] + 1, high[o] + 1], axis=1).ravel()
-                out = np.empty(len(low), np.int16)
-                out[o] = np.minimum.reduceat(padded, pairs)[::2]
-                return out
-
-            symbol = bwt[i]
-            above = order[np.maximum(r - 1, 0)]
-            has_above = (r > none) & (bwt[above] == symbol)
-            under = order[np.minimum(r + 1, len(order) - 1)]
-            has_under = (r + 1 < len(order)) & (bwt[under] == symbol)
-            merged = [np.empty(n, f.kind) for f in files]
-            for new, old, fresh in zip(merged, (bwt, lcp, who, length), (before(active, j), 0, active, j), strict=True):
-                new[~is_new] = old
-                new[to] = fresh
-            merged[1][to[has_above]] = least(above[has_above], i[has_above]) + 1
-            merged[1][to[has_under] + 1] = least(i[has_under], under[has_under]) + 1
+            new_bwt, new_lcp = np.empty(n, np.uint8), np.empty(n, prefix)
+            new_bwt[old], new_lcp[old] = bwt, lcp
+            new_bwt[to], new_lcp[to] = before(active, j), 0
+            above = r > first[symbol]
+            below = r + 1 < first[symbol + 1]
+            new_lcp[to[above]] = _least(padded, order[r[above] - 1], i[above]) + prefix(1)
+            new_lcp[to[below] + 1] = _least(padded, i[below], order[r[below] + 1]) + prefix(1)
             place[active] = to
-            for f, v in zip(files, merged, strict=True):
-                f.put(v)
-        return files[2].get(), files[3].get(), files[1].get()
+            bwt_file.put(new_bwt)
+            lcp_file.put(new_lcp)
+        bwt, lcp = bwt_file.get(), lcp_file.get()
+    order = np.argsort(bwt, kind="stable")
+    step = np.empty(len(order), np.int64)
+    none = int(np.count_nonzero(bwt == 0))
+    step[order] = m + np.arange(len(order)) - none
+    who, length = np.empty(len(bwt), np.int64), np.empty(len(bwt), np.int64)
+    at = np.arange(m)
+    for j in range(rounds + 1):
+        live = np.flatnonzero(size >= j)
+        if j:
+            at[live] = step[at[live]]
+        who[at[live]], length[at[live]] = live, j
+    return who, length, lcp.astype(np.int64)
+
+
+def _keyed(bwt: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Symbol and position of the transform in LF order, as one increasing number."""
+    return bwt[order].astype(np.int64) * (len(bwt) + 1) + order
+
+
+def _least(padded: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Smallest common prefix in (low, high]."""
+    if not len(low):
+        return np.zeros(0, padded.dtype)
+    o = np.argsort(low)
+    pairs = np.stack([low[o] + 1, high[o] + 1], axis=1).ravel()
+    out = np.empty(len(low), padded.dtype)
+    out[o] = np.minimum.reduceat(padded, pairs)[::2]
+    return out
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -319,6 +340,40 @@ def cut_fragments(asked: DataFrame, docs: DataFrame, length: int, buckets: int)
     return beside_texts(asked, docs).mapInArrow(run, PACKED)
 
 
+def may_repeat(h: np.ndarray, x: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Fragments that can share a string with another one of their anchor hash.
+
+    A string reaches at least half of what it has beside its anchor to the left or to the right of it.  A fragment whose anchor, with that
+    half to the left, is like no other's, and so to the right, shares none.
+    """
+    half = (length - K) // 2
+    p, q = powers(len(x) + 1, BASE_1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * p[: len(x)], out=sums[1:])
+
+    def hashes(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64(mix64((sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64)) ^ np.uint64(BASE_1))
+
+    # the anchor: the first K bytes with its hash that the fragment's last string holds
+    wide = 2 * length - K + 1 - size
+    f = np.repeat(np.arange(len(h)), wide)
+    t = (at + size - length)[f] + np.arange(len(f)) - np.repeat(np.cumsum(wide) - wide, wide)
+    hit = np.flatnonzero(hashes(t, t + K) == h[f])
+    anchor = np.full(len(h), -1, np.int64)
+    anchor[f[hit][::-1]] = t[hit][::-1]
+    out = anchor < 0
+    for start, end in ((anchor - half, anchor + K), (anchor, anchor + K + half)):
+        fits = np.flatnonzero((anchor >= 0) & (start >= at) & (end <= at + size))
+        key = mix64(hashes(start[fits], end[fits]) ^ h[fits])
+        order = np.argsort(key)
+        k = key[order]
+        same = np.zeros(len(k), bool)
+        same[1:] = k[1:] == k[:-1]
+        same[:-1] |= same[1:]
+        out[fits[order[same]]] = True
+    return out
+
+
 def sort_fragments(fragments: DataFrame, length: int, most: int) -> DataFrame:
     """Columnwise construction over the fragments, whole anchor groups at a time; the repeats found, packed by document."""
 
@@ -329,9 +384,10 @@ def sort_fragments(fragments: DataFrame, length: int, most: int) -> DataFrame:
         who = np.repeat(np.arange(len(d)), n)
         size = e.astype(np.int64) + length
         at = np.concatenate([[0], np.cumsum(size)])
-        order = np.argsort(h, kind="stable")
+        order = np.flatnonzero(may_repeat(h, x, at[:-1], size, length))
+        order = order[np.argsort(h[order], kind="stable")]
         hs = h[order]
-        groups = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
+        groups = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
         i = 0
         while i < len(order):
             k = int(np.searchsorted(groups, i + most, side="right")) - 1
