@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialize, mix64, n_parts, powers, release, slices, text_buffer
+from .util import labels_of, materialize, mix64, n_parts, powers, release, slices, text_buffer
 
 K = 20
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -212,7 +212,7 @@ def rows_of(found: list[tuple], names: list[str]) -> pa.RecordBatch:
 PACKED = "bucket int, kind int, data binary"
 
 
-def find_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+def find_anchors(docs: DataFrame, length: int, labels: np.ndarray) -> DataFrame:
     def run(batches):
         for b in batches:
             buf, off = text_buffer(b.column(3))
@@ -228,7 +228,7 @@ def find_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 if held > 1 << 21 or (j == len(off) - 1 and parts):
                     h, fh, s, e, k = (np.concatenate(x) for x in zip(*parts, strict=True))
                     found = []
-                    for bucket, mine in spread((h >> np.uint64(20)) % np.uint64(buckets)):
+                    for bucket, mine in spread(labels[((h >> np.uint64(20)) % np.uint64(len(labels))).astype(np.int64)]):
                         o, ds = by_document(k[mine], table)
                         mine = mine[o]
                         found.append((bucket, 0, pack(d=ds[0], t=ds[1], b=ds[2], n=ds[3], h=h[mine], f=fh[mine], s=s[mine].astype(np.int32), e=(e - s - length)[mine].astype(np.uint8))))
@@ -308,7 +308,7 @@ def walk(batches, kinds):
                 yield bucket, doc, th, data, known.get((LAST if doc is None else doc, th), [])
 
 
-def cut_fragments(asked: DataFrame, docs: DataFrame, length: int, buckets: int) -> DataFrame:
+def cut_fragments(asked: DataFrame, docs: DataFrame, length: int, labels: np.ndarray) -> DataFrame:
     def run(batches):
         parts, done, held = [], set(), 0
 
@@ -318,7 +318,7 @@ def cut_fragments(asked: DataFrame, docs: DataFrame, length: int, buckets: int)
             s, e, h = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
             text = [p[6] for p in parts]
             found = []
-            for bucket, mine in spread((h >> np.uint64(20)) % np.uint64(buckets)):
+            for bucket, mine in spread(labels[((h >> np.uint64(20)) % np.uint64(len(labels))).astype(np.int64)]):
                 o, dd = by_document(who[mine], ds)
                 mine = mine[o]
                 body = b"".join(text[w][a : a + z] for w, a, z in zip(who[mine].tolist(), s[mine].tolist(), (e[mine].astype(int) + length).tolist(), strict=True))
@@ -428,12 +428,13 @@ def spans(known: list, length: int) -> tuple[np.ndarray, np.ndarray]:
 def repeats(docs: DataFrame, length: int = 50, part: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end, end exclusive), kept (the remaining bytes).  ``docs``: doc_id, text."""
     parts = n_parts(docs)
-    buckets = 16 * parts
+    labels = labels_of(parts)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    base = base.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), "th"), F.lit(buckets)).cast("int"))
-    found = find_anchors(base.select("doc_id", "th", "bucket", "text"), length, buckets)
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), "th"), F.lit(parts)).cast("int")
+    base = base.withColumn("bucket", F.element_at(F.lit(labels.tolist()), place + 1).cast("int"))
+    found = find_anchors(base.select("doc_id", "th", "bucket", "text"), length, labels)
     compared = materialize(compare(found.repartition(parts, "bucket"), length))
-    asked = cut_fragments(compared.where("kind = 1"), base, length, buckets)
+    asked = cut_fragments(compared.where("kind = 1"), base, length, labels)
     sorted_ = materialize(sort_fragments(asked.repartition(parts, "bucket"), length, part))
     removed = compared.where("kind = 0").union(sorted_)
 

@@ -59,6 +59,22 @@ def n_parts(df: DataFrame, floor: int = 1) -> int:
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def labels_of(parts: int) -> np.ndarray:
+    """For each of ``parts`` hash partitions an INT key that Spark's repartition(parts, key) sends there, so packed rows spread evenly."""
+    k = np.arange(64 * parts + 256, dtype=np.uint32)
+    rot = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+    h = rot(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = rot(np.uint32(42) ^ h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    at = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+    found, first = np.unique(at, return_index=True)
+    out = np.arange(parts)
+    out[found] = first
+    return out.astype(np.int32)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's text, modulo m; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
