@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exact as X
-from .operators import mesh, octree, planes, solids, winding
+from .operators import checks, intersect, merge, mesh, octree, planes, solids, split, winding
 from .plans.indicator import Indicator
 from .sources import quantise, templates
 
@@ -560,12 +560,56 @@ def boolean_mesh(spark, sf):
 
 SQL_BOOLEAN_MESH = f"with a as ({_DUCK[0]}), b as ({_DUCK[1]}), v as (select scene, cast(6 * ({_A} - {_inter('a', 'b')}) as bigint) as v from a join b using (scene)) select scene as mesh_id, true as closed, v as volume from v where v > 0"
 
+def self_intersections(spark, sf):
+    """Two boxes a mesh: it intersects itself where their surfaces cross."""
+    rows = [spark.sql(_moved(k), supplier=_t(spark, sf, "supplier")).withColumn("part", F.lit(k)) for k in (0, 2)]
+    odd = rows[1].withColumns({f"{s}{c}": F.col(f"{s}{c}") * 2 + 1 for s in "lh" for c in "xyz"})
+    even = rows[0].withColumns({f"{s}{c}": F.col(f"{s}{c}") * 2 for s in "lh" for c in "xyz"})
+    t = templates.box_triangles(even.unionByName(odd))
+    t = t.select(F.col("scene").alias("mesh_id"), (F.col("tid") + F.col("part") * 12).alias("tid"), *mesh.CORNERS)
+    return intersect.is_self_intersecting(t, 10, 32).select("mesh_id", "self_intersecting")
+
+
+_MEETS = " and ".join(f"2 * a.l{c} < 2 * c.h{c} + 1 and 2 * c.l{c} + 1 < 2 * a.h{c}" for c in "xyz")
+_A_IN = " and ".join(f"2 * a.l{c} > 2 * c.l{c} + 1 and 2 * a.h{c} < 2 * c.h{c} + 1" for c in "xyz")
+_C_IN = " and ".join(f"2 * a.l{c} < 2 * c.l{c} + 1 and 2 * a.h{c} > 2 * c.h{c} + 1" for c in "xyz")
+SQL_SELF_MEET = f"with a as ({_DUCK[0]}), c as ({_DUCK[2]}) select scene as mesh_id, ({_MEETS}) and not ({_A_IN}) and not ({_C_IN}) as self_intersecting from a join c using (scene)"
+
+
+def contact_split(spark, sf):
+    """Two boxes welded along an edge (scene odd) or at a corner (even): not manifold as they are, manifold after the split."""
+    s = spark.sql("select cast(s_suppkey as bigint) as mesh_id, s_suppkey % 2 as odd from {supplier}", supplier=_t(spark, sf, "supplier"))
+    one = s.selectExpr("mesh_id", "0 as part", "0 as lx", "0 as ly", "0 as lz", "2 as hx", "2 as hy", "2 as hz")
+    two = s.selectExpr("mesh_id", "1 as part", "2 as lx", "2 as ly", "if(odd = 1, 0, 2) as lz", "4 as hx", "4 as hy", "if(odd = 1, 2, 4) as hz")
+    v, t = templates.weld(*templates.box_mesh(one.unionByName(two)))
+    v = v.withColumn("point", F.concat_ws(",", "x", "y", "z", F.lit(1)))
+    before = mesh.topology(t).select("mesh_id", F.col("ok").alias("ok_before"))
+    nv, nt, _ = split.split_contacts(v, t)
+    after = mesh.topology(nt).select("mesh_id", F.col("ok").alias("ok_after"), F.col("v").cast("bigint").alias("v"), F.col("components").cast("bigint").alias("components"))
+    bad = checks.structure(nv, nt).select("mesh_id", (F.col("dangling") + F.col("twisted") + F.col("bad_degree") + F.col("unbalanced") + F.col("duplicates")).alias("violations"))
+    return before.join(after, "mesh_id").join(bad, "mesh_id")
+
+
+SQL_CONTACT = "select cast(s_suppkey as bigint) as mesh_id, false as ok_before, true as ok_after, cast(16 as bigint) as v, cast(2 as bigint) as components, cast(0 as bigint) as violations from supplier"
+
+
+def convex_merge(spark, sf):
+    """Boxes' triangles merged into convex faces: six a box, four corners each."""
+    rows = spark.sql(_moved(0), supplier=_t(spark, sf, "supplier")).withColumnRenamed("scene", "mesh_id")
+    t = templates.box_triangles(rows).select("mesh_id", "tid", "v0", "v1", "v2", *mesh.CORNERS)
+    m = merge.merge_convex(t, 9)
+    return m.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces"), F.sum(F.size("corners")).alias("corners"), F.sum("tag").alias("tags"))
+
+
+SQL_MERGE = "select cast(s_suppkey as bigint) as mesh_id, cast(6 as bigint) as faces, cast(24 as bigint) as corners, cast(30 as bigint) as tags from supplier"
+
 QUERIES = {
     "solid_volume": solid_volume, "orient_signs": orient_signs, "plane_sides": plane_sides, "plane_dictionary": plane_dictionary, "plane_pairs": plane_pairs,
     "edge_planes": edge_planes, "mesh_topology": mesh_topology, "open_meshes": open_meshes, "mesh_volume": mesh_volume, "cell_assignment": cell_assignment,
     "adaptive_leaves": adaptive_leaves, "plane_culling": plane_culling, "box_overlaps": box_overlaps, "point_winding": point_winding, "csg_membership": csg_membership,
     "lattice_ties": lattice_ties, "reachability": reachability, "plane_meets": plane_meets, "exact_arithmetic": exact_arithmetic, "quantised": quantised, "model_strata": model_strata,
     "boolean_volume": boolean_volume, "nary_volume": nary_volume, "self_union_volume": self_union_volume, "slanted_identities": slanted_identities, "boolean_mesh": boolean_mesh,
+    "self_intersections": self_intersections, "contact_split": contact_split, "convex_merge": convex_merge,
 }
 ORACLE_SQL = {
     "solid_volume": SQL_VOLUME, "orient_signs": SQL_ORIENT, "plane_sides": SQL_SIDES, "plane_dictionary": SQL_DICTIONARY, "plane_pairs": SQL_PAIRS,
@@ -573,5 +617,6 @@ ORACLE_SQL = {
     "adaptive_leaves": SQL_LEAVES, "plane_culling": SQL_CULLING, "box_overlaps": SQL_OVERLAPS, "point_winding": SQL_POINT, "csg_membership": SQL_CSG,
     "lattice_ties": SQL_TIES, "reachability": SQL_REACH, "plane_meets": SQL_MEETS, "exact_arithmetic": SQL_ARITHMETIC, "quantised": SQL_QUANTISED, "model_strata": SQL_STRATA,
     "boolean_volume": SQL_BOOLEAN, "nary_volume": SQL_NARY, "self_union_volume": SQL_SELF, "slanted_identities": SQL_SLANTED, "boolean_mesh": SQL_BOOLEAN_MESH,
+    "self_intersections": SQL_SELF_MEET, "contact_split": SQL_CONTACT, "convex_merge": SQL_MERGE,
 }
 ORACLE_SQL = {k: _q(v) for k, v in ORACLE_SQL.items()}

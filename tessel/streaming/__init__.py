@@ -1,0 +1 @@
+"""Streams of points against solids that stand still."""
