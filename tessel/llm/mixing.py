@@ -135,9 +135,9 @@ def readings(mixed: DataFrame, block: int = 32, max_repeat: int = 2) -> DataFram
     word = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     lo = lambda x: F.greatest(x["b"] * block - F.col("_mx_from"), F.lit(0)).cast("int")
     hi = lambda x: F.least((x["b"] + 1) * block - F.col("_mx_from"), F.col("size")).cast("int")
-    some = F.array_join(F.flatten(F.transform("_mx_bs", lambda x: F.slice(F.col("_mx_ws"), lo(x) + 1, hi(x) - lo(x)))), " ")
-    r = r.withColumn("_mx_ws", F.when(~whole, word))
-    return r.withColumn("text", F.when(whole, F.col("text")).otherwise(some)).drop("_mx_bs", "_mx_ws")
+    runs = lambda ws: F.array_join(F.flatten(F.transform("_mx_bs", lambda x: F.slice(ws, lo(x) + 1, hi(x) - lo(x)))), " ")
+    some = F.transform(F.array(word), runs)[0]  # the words are bound once, not extracted for every block
+    return r.withColumn("text", F.when(whole, F.col("text")).otherwise(some)).drop("_mx_bs")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
