@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .util import materialize
 
-LEVELS = 8
+LEVELS = 4
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -41,6 +41,10 @@ class Index:
         self.low = self.values[:, 0] if n else np.zeros(self.dim, np.int64)
         self.high = self.values[:, -1] if n else np.zeros(self.dim, np.int64)
         self.first, self.last = self.values[:, self.cut[:-1]], self.values[:, self.cut[1:] - 1]
+        # what a unit of weight adds, counted from the worst value of the dimension: for weights above 0 and below
+        wide = np.int64 if n and int(np.abs(self.values).max()) >= 1 << 12 else np.int32
+        self.from_low = (self.values - self.low[:, None]).astype(wide)
+        self.from_high = (self.values - self.high[:, None]).astype(wide)
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and exact scores of the k best, of score then smaller id."""
@@ -50,33 +54,35 @@ class Index:
         rank = np.argsort(-impact, axis=None, kind="stable")
         left = impact.max(1)
         remaining = int(left.sum())
-        acc = np.zeros(len(self.ids), np.int64)
-        acc[self.ids == own] = np.iinfo(np.int64).min // 2
+        kind = np.int32 if self.from_low.dtype == np.int32 and remaining < 1 << 29 else np.int64
+        acc = np.zeros(len(self.ids), kind)
+        acc[self.ids == own] = np.iinfo(kind).min // 2
+        weight = q.astype(kind)
         possible = None
-        check = remaining // 4
+        check = remaining // 3
         flat = impact.ravel()
+        cut, signs = self.cut.tolist(), np.sign(q).tolist()
         for d, s in zip((rank // self.levels).tolist(), (rank % self.levels).tolist(), strict=True):
-            w = q[d]
+            w = signs[d]
             if w == 0:
                 continue
-            a, b = self.cut[s], self.cut[s + 1]
-            v = self.values[d, a:b]
-            acc[self.by_value[d, a:b]] += w * (v - self.low[d]) if w > 0 else w * (v - self.high[d])
+            a, b = cut[s], cut[s + 1]
+            acc[self.by_value[d, a:b]] += (self.from_low if w > 0 else self.from_high)[d, a:b] * weight[d]
             after = s - 1 if w > 0 else s + 1
             now = int(flat[d * self.levels + after]) if 0 <= after < self.levels else 0
             remaining -= int(left[d]) - now
             left[d] = now
             if remaining <= check and len(acc) > 4 * k:
                 kth = np.partition(acc, len(acc) - k)[len(acc) - k]
-                if np.count_nonzero(acc >= kth - remaining) <= max(4 * k, len(acc) // 64):
+                if np.count_nonzero(acc >= kth - remaining) <= max(4 * k, len(acc) // 6):
                     possible = np.flatnonzero(acc >= kth - remaining)
                     break
-                check = remaining // 2
+                check = remaining * 3 // 4
         if possible is None:
-            floor = np.partition(acc, len(acc) - k)[len(acc) - k] if len(acc) > k else np.iinfo(np.int64).min
+            floor = np.partition(acc, len(acc) - k)[len(acc) - k] if len(acc) > k else np.iinfo(kind).min
             possible = np.flatnonzero(acc >= floor)
         possible = possible[self.ids[possible] != own]
-        exact = self.x[possible] @ q
+        exact = (self.x[possible].astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if kind == np.int32 else self.x[possible] @ q  # doubles hold these products exactly
         best = np.lexsort((self.ids[possible], -exact))[:k]
         return self.ids[possible][best], exact[best]
 
@@ -88,7 +94,7 @@ def _unpack(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.frombuffer(x, np.int64) for x in ids]), np.concatenate([np.frombuffer(x, np.int32).reshape(-1, dim) for x in data]).astype(np.int64)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = 16384, block: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = 32768, block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score.  Both inputs: vec_id long, v array<long> without nulls.  Integers to 31 bits."""
     m = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     n, dim = m["n"], max(m["dim"] or 1, 1)
