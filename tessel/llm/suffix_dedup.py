@@ -7,9 +7,9 @@ length more), found by the transform itself, and rewrites the files in one pass
 So that a round never passes over the whole corpus, the collection is cut by content.  Each ``LENGTH``-byte string picks
 its anchor: of its ``K``-byte substrings the leftmost with the smallest hash.  Equal strings pick equal anchors, so all
 occurrences of a string lie in fragments (the run of strings that share an anchor) with one anchor hash, and fragments are
-sorted by anchor hash, in parts that fit a task.  Fragments that are equal as a whole (128 bits of hashes) are represented by the
-one with the smallest doc_id; only representatives whose anchor also has other fragments are sorted.  About one byte
-in fifteen is an anchor; what is shuffled by anchor is packed, 21 bytes each.  Strings are judged on the input.
+sorted by anchor hash, in parts that fit a task.  Of fragments that are equal as a whole (128 bits of hashes) those of the smallest doc_id
+stand for the rest; where their anchor also has other fragments, the first in each row is sorted, and what is found in it
+is passed on to its equals in that row (twins).  About one byte in fifteen is an anchor; what is shuffled by anchor is packed, 21 bytes each.  Strings are judged on the input.
 
 Defined results: null and empty texts have 0 bytes and hash as empty; a null doc_id counts as larger than any other; rows
 with equal doc_id never remove from each other (repeated rows give equal rows); ties need no rule; very long
@@ -185,6 +185,7 @@ def unpack(data: bytes, *kinds) -> list[np.ndarray]:
 
 
 DOCS = (np.int64, np.int64, np.int32, np.int64)  # doc, hash of its text, its bucket, its entries
+NO_TWINS = np.zeros(0, np.int32)
 
 
 def by_document(doc: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
@@ -197,6 +198,8 @@ def by_document(doc: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndar
 
 def spread(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(bucket, its entries) in order."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
@@ -246,15 +249,18 @@ def gather(batches, kinds) -> list[np.ndarray]:
 
 
 def compare(packed: DataFrame, length: int) -> DataFrame:
-    """By anchor hash: kind 0, fragments whose every string starts in a smaller document; kind 1, fragments to be sorted."""
+    """By anchor hash: kind 0, fragments whose every string starts in a smaller document; kind 1, fragments to be sorted; kind 2, their twins."""
 
     def run(batches):
         d, t, b, n, h, fh, s, e = gather(batches, (*DOCS, np.uint64, np.uint64, np.int32, np.uint8))
         if not len(h):
             return
         who = np.repeat(np.arange(len(d)), n)
-        order = np.lexsort((d[who], fh, h))
+        order = np.lexsort((s, t[who], d[who], fh, h))
         who, h, fh, s, e = who[order], h[order], fh[order], s[order], e[order]
+        other = np.concatenate([[True], (h[1:] != h[:-1]) | (fh[1:] != fh[:-1]) | (d[who[1:]] != d[who[:-1]]) | (t[who[1:]] != t[who[:-1]])])
+        once = other | np.concatenate([[True], s[1:] != s[:-1]])  # repeated rows are known by one of them
+        who, h, fh, s, e, new_row = who[once], h[once], fh[once], s[once], e[once], other[once]
         doc = d[who]
         g = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         of_g = np.repeat(np.arange(len(g)), np.diff(np.concatenate([g, [len(h)]])))
@@ -265,14 +271,15 @@ def compare(packed: DataFrame, length: int) -> DataFrame:
         several = np.diff(np.searchsorted(f, np.concatenate([g, [len(h)]]))) > 1
         open_ = (low < high) & several
         repeat = doc > doc[f][of_f]
-        asked = new_f & open_[of_g]
+        least = ~repeat & open_[of_g]
+        twin_of = s[np.flatnonzero(new_row)][np.cumsum(new_row) - 1]
         found = []
-        for kind, take in ((0, np.flatnonzero(repeat)), (1, np.flatnonzero(asked))):
+        for kind, take in ((0, np.flatnonzero(repeat)), (1, np.flatnonzero(least & new_row)), (2, np.flatnonzero(least & ~new_row))):
             for bucket, mine in spread(b[who[take]]):
                 mine = take[mine]
                 o, ds = by_document(who[mine], (d, t, b))
                 mine = mine[o]
-                extra = {"h": h[mine]} if kind else {}
+                extra = {"h": h[mine]} if kind == 1 else {"f": twin_of[mine] if kind else NO_TWINS}
                 found.append((bucket, kind, pack(d=ds[0], t=ds[1], b=ds[2], n=ds[3], s=s[mine], e=e[mine], **extra)))
         yield rows_of(found, ["bucket", "kind", "data"])
 
@@ -407,18 +414,27 @@ def sort_fragments(fragments: DataFrame, length: int, most: int) -> DataFrame:
             for bucket, part in spread(b[who[f]]):
                 o, ds = by_document(who[f[part]], (d, t, b))
                 part = part[o]
-                found.append((bucket, 0, pack(d=ds[0], t=ds[1], b=ds[2], n=ds[3], s=begin[part].astype(np.int32), e=np.zeros(len(part), np.uint8))))
+                found.append((bucket, 0, pack(d=ds[0], t=ds[1], b=ds[2], n=ds[3], s=begin[part].astype(np.int32), e=np.zeros(len(part), np.uint8), f=NO_TWINS)))
             yield rows_of(found, ["bucket", "kind", "data"])
 
     return fragments.mapInArrow(run, PACKED)
 
 
 def spans(known: list, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of the bytes that the packed fragments cover."""
+    """Maximal runs of the bytes that the packed fragments cover, and of what twins take over from the fragment that was sorted."""
+    twins = [k for k in known if len(k[2])]
+    known = [k for k in known if not len(k[2])]
     if not known:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     s = np.concatenate([k[0] for k in known]).astype(np.int64)
     e = s + np.concatenate([k[1] for k in known]) + length
+    if twins:
+        own, size, of = (np.concatenate([k[i] for k in twins]).astype(np.int64) for i in range(3))
+        at = np.unique(s)
+        low, high = np.searchsorted(at, of), np.searchsorted(at, of + size, side="right")
+        n = high - low
+        more = at[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)] + np.repeat(own - of, n)
+        s, e = np.concatenate([s, more]), np.concatenate([e, more + length])
     order = np.argsort(s, kind="stable")
     s, e = s[order], np.maximum.accumulate(e[order])
     first = np.concatenate([[True], s[1:] > e[:-1]])
@@ -436,12 +452,12 @@ def repeats(docs: DataFrame, length: int = 50, part: int = 20_000) -> DataFrame:
     compared = materialize(compare(found.repartition(parts, "bucket"), length))
     asked = cut_fragments(compared.where("kind = 1"), base, length, labels)
     sorted_ = materialize(sort_fragments(asked.repartition(parts, "bucket"), length, part))
-    removed = compared.where("kind = 0").union(sorted_)
+    removed = compared.where("kind <> 1").union(sorted_)
 
     def finish(batches):
         out = []
         held = 0
-        for _, doc, _, data, known in walk(batches, (*DOCS, np.int32, np.uint8)):
+        for _, doc, _, data, known in walk(batches, (*DOCS, np.int32, np.uint8, np.int32)):
             s, e = spans(known, length)
             view = memoryview(data)
             at = [0, *np.stack([s, e], 1).ravel().tolist(), len(data)]

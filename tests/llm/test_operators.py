@@ -315,6 +315,23 @@ def test_suffix_dedup(spark, docs, none):
     assert suffix_dedup.repeats(none.select("doc_id", "text")).count() == 0
 
 
+def test_suffix_dedup_of_repeats_inside_a_document(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for i in range(12):
+        held, left, right = word(rng.randint(50, 90)), word(90), word(90)
+        loop = left + held + right
+        rows += [(10 * i + 1, word(40) + held + word(40)), (10 * i + 2, loop * 4 + word(30) + loop), (10 * i + 3, loop + word(10)), (10 * i + 3, word(10) + loop * 2)]
+        rows += [(None, word(7) + "-" * 30 + held + "=" * 30), (None, "-" * 30 + held + "=" * 30 + word(9)), rows[-3]]
+    rows += [(900, "a" + "#" * 55 + "b"), (901, "c" + "#" * 300 + "\n" + "#" * 70), (902, "é" + "ab" * 60), (903, "ß" + "ba" * 200 + "\n" + "ab" * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    got = suffix_dedup.repeats(df, part=64).select("doc_id", "n_bytes", gone, F.size("spans"), F.sha2("kept", 256)).collect()
+    key = lambda r: (r[0] is None, *((v if v is not None else -1) for v in r))
+    assert sorted(map(tuple, got), key=key) == sorted(suffix_dedup.brute_force(rows), key=key)
+
+
 # -- 9 -------------------------------------------------------------------------------------------------------------
 
 
