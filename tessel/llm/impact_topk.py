@@ -2,7 +2,7 @@
 
 Vectors of integers are dealt into shards of about ``shard`` vectors.  A shard's index has, for every dimension, its vectors sorted by
 value and cut into ``LEVELS`` posting segments.  For a query, values are counted from the end that its sign makes
-worst, so every contribution is at least 0; a segment's impact is the largest contribution in it.  Segments are processed by descending impact,
+worst, so every contribution is at least 0; a segment's impact is the largest contribution in it.  Segments are processed by descending impact (of equal ones in a dimension the best end first),
 adding exact contributions to accumulators.  What remains is bounded by the sum over dimensions of the next segment's impact.
 Processing stops only on proof that few vectors can reach the k-th best accumulator, and those are rescored exactly.
 Each shard gives its k best; the k best of these are the answer.
@@ -51,7 +51,10 @@ class Index:
         up = q >= 0
         # the largest contribution of each segment; segments of a dimension from the best end
         impact = np.where(up[:, None], q[:, None] * (self.last - self.low[:, None]), q[:, None] * (self.first - self.high[:, None]))
-        rank = np.argsort(-impact, axis=None, kind="stable")
+        # ties inside a dimension from the best end too, so that the segment after the last one read bounds all that is unread
+        placed = np.where(up[:, None], impact[:, ::-1], impact)
+        rank = np.argsort(-placed, axis=None, kind="stable")
+        rank = np.where(up[rank // self.levels], rank + self.levels - 1 - 2 * (rank % self.levels), rank)
         left = impact.max(1)
         remaining = int(left.sum())
         kind = np.int32 if self.from_low.dtype == np.int32 and remaining < 1 << 29 else np.int64

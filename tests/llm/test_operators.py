@@ -249,6 +249,20 @@ def test_top_k_is_exact(spark):
     assert impact_topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_with_tied_segments():
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        n, dim = int(rng.integers(120, 600)), int(rng.integers(2, 65))
+        x = rng.integers(-2, 3, (n, dim)) if trial % 2 else rng.integers(-90, 90, (n, dim))
+        x[: n // 3] = x[0]
+        ids = rng.permutation(n).astype(np.int64)
+        index = impact_topk.Index(ids, x.astype(np.int64))
+        for i in rng.integers(0, n, 40):
+            got, score = index.search(x[i].astype(np.int64), int(ids[i]), 20)
+            want = sorted((-int(s), int(d)) for s, d in zip(x @ x[i], ids, strict=True) if d != ids[i])[:20]
+            assert list(zip((-score).tolist(), got.tolist(), strict=True)) == want, (trial, i)
+
+
 # -- 7 -------------------------------------------------------------------------------------------------------------
 
 
