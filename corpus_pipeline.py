@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import mixing, pii_feistel, sentencepiece_ac, simhash_pivot, toxicity_cnn
+from tessel.llm import jaccard_prefix, mixing, pii_feistel, sentencepiece_ac, toxicity_cnn
 from tessel.llm.util import materialize, table
 
 # SQL has neither the trained filters nor the hashes; tests/llm holds the stages against brute force instead.
@@ -27,9 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once; of documents without id, one a fingerprint."""
-    prints = materialize(simhash_pivot.fingerprints(docs))
-    groups = materialize(simhash_pivot.near_duplicates(prints))
+    """Of each group of near copies (five-word Jaccard 0.8 or more) the document with the smallest id stays, once; of documents without id, one a set."""
+    groups = materialize(jaccard_prefix.near_duplicates(docs.select("doc_id", "text")))
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
     one = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
@@ -39,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     lone = groups.where("doc_id is null and component_id is null").select("fp").distinct()
     texts = docs.where("doc_id is null").select("text").distinct()
     marked = texts.withColumn("doc_id", F.xxhash64("text"))
-    by_print = simhash_pivot.fingerprints(marked).join(lone, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_h"))
+    by_print = jaccard_prefix.sets_of(marked, 5).select("doc_id", "fp").join(lone, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_h"))
     nameless = docs.where("doc_id is null").withColumn("_h", F.xxhash64("text")).join(by_print.select("_h"), "_h", "left_semi")
     return kept.unionByName(nameless.groupBy("_h").agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.lit(None).cast("long").alias(c) if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns]))
 

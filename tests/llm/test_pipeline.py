@@ -41,3 +41,27 @@ def test_awkward_rows(spark, data):
     for _, stage in c.STAGES:
         empty = c.materialize(stage(spark, empty, data))
     assert empty.count() == 0
+
+
+def test_near_copies_of_five_words(spark, data):
+    import random
+
+    import corpus_pipeline as c
+    from tessel.llm import jaccard_prefix
+
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 40))
+    rows = []
+    for g in range(15):
+        base = [word() for _ in range(rng.choice([3, 8, 60, 300]))]
+        for _ in range(rng.randint(1, 8)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 35))):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows) * 3 + 1, " ".join(w) + rng.choice(["", "\n", " and a common line at the end of many texts"])))
+    rows += [(500, None), (501, ""), (502, " "), (503, "One Two"), (504, "one  two")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = jaccard_prefix.brute_force(rows)
+    for most in (2048, 2):
+        assert {r.doc_id: r.component_id for r in jaccard_prefix.near_duplicates(docs, most=most).collect()} == want
+    assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, data).collect()) == sorted(set(want.values()))
