@@ -3,7 +3,7 @@
 Templates: per host, each path segment is a node below the template of what comes before it.  Numbers, hexadecimal names, dates and long
 mixed names are variable by their form; what is left is literal unless its node has over ``fan_out`` different
 literals, which are then one wildcard.  Segments below ``depth`` are one tail.  At the end, sibling templates (equal but for the
-last literal) whose labelled rates do not differ by a two-proportion test are merged and share their counts.  A template is rejected when its
+last literal) whose labelled rates do not differ by a two-proportion test are merged and share their counts; one without labels stays at the overall rate.  A template is rejected when its
 labelled purity, smoothed by ``prior_rows`` rows at the overall rate, reaches ``purity``.
 
 Everything is counted over all rows by partial aggregation; the tables that are joined back hold nodes, not
@@ -96,7 +96,7 @@ def judge(urls: DataFrame, depth: int = 6, fan_out: int = 16, purity: float = 0.
     t = t.join(kin, ["host", "parent"])
     p = F.when(F.col("kn") > 0, F.col("kb") / F.col("kn")).otherwise(0.0)
     noise = F.sqrt(p * (1 - p) * F.when(F.col("n") > 0, 1 / F.col("n")).otherwise(0.0))
-    merged = (F.col("n") == 0) | (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - p) <= alike * noise) | (F.col("n") == F.col("kn"))
+    merged = (F.col("n") > 0) & (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - p) <= alike * noise)
     n, b = F.when(merged, F.col("kn")).otherwise(F.col("n")), F.when(merged, F.col("kb")).otherwise(F.col("b"))
     t = t.select("host", "template", ((b + prior_rows * rate) / (n + prior_rows)).alias("purity"))
     t = t.withColumn("rejected", F.col("purity") >= purity)
