@@ -11,8 +11,11 @@ from ..functions import wide as Z
 from . import mesh, planes
 
 
-def patches(fat_triangles: DataFrame, b: int = 21, rounds: int = 64) -> DataFrame:
-    """mesh_id, tid, patch (smallest tid): triangles of one oriented plane joined over edges of degree 2."""
+def patches(fat_triangles: DataFrame, b: int = 21) -> DataFrame:
+    """mesh_id, tid, patch (smallest tid): triangles of one oriented plane joined over edges of degree 2.
+
+    Label propagation with pointer jumping, until nothing changes.
+    """
     plane = X.plane_of(*mesh.corners(b))
     key = planes.canonical(plane)
     t = fat_triangles.where(~X.is_degenerate(plane)).withColumn("_plane", F.struct(*[key[c].alias(c) for c in ("a", "b", "c", "d", "flipped")]))
@@ -24,13 +27,15 @@ def patches(fat_triangles: DataFrame, b: int = 21, rounds: int = 64) -> DataFram
     flat = two.join(of, ["mesh_id", "a"]).join(oc, ["mesh_id", "c"]).where("pa = pc").select("mesh_id", "a", "c")
     links = mesh.checkpoint(flat.union(flat.select("mesh_id", F.col("c").alias("a"), F.col("a").alias("c"))))
     label = t.select("mesh_id", "tid", F.col("tid").alias("patch"))
-    for _ in range(rounds):
+    while True:
         low = links.join(label.withColumnRenamed("tid", "c"), ["mesh_id", "c"]).groupBy("mesh_id", F.col("a").alias("tid")).agg(F.min("patch").alias("m"))
-        new = mesh.checkpoint(label.join(low, ["mesh_id", "tid"], "left").select("mesh_id", "tid", F.col("patch").alias("old"), F.least("patch", F.coalesce("m", "patch")).alias("patch")))
+        new = label.join(low, ["mesh_id", "tid"], "left").select("mesh_id", "tid", F.col("patch").alias("old"), F.least("patch", F.coalesce("m", "patch")).alias("patch"))
+        new = mesh.checkpoint(new)
+        up = new.select("mesh_id", F.col("tid").alias("patch"), F.col("patch").alias("root"))
+        new = mesh.checkpoint(new.join(up, ["mesh_id", "patch"]).select("mesh_id", "tid", "old", F.col("root").alias("patch")))
         label = new.select("mesh_id", "tid", "patch")
         if new.where("old <> patch").isEmpty():
             return label
-    raise RuntimeError("patches did not settle")
 
 
 def convex(loop: list[tuple], axis: int) -> bool:

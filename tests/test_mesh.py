@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions import exact as X
-from tessel.operators import mesh, octree, solids
+from tessel.operators import merge, mesh, octree, solids
 from tessel.plans.indicator import Indicator, compose
 from tessel.sources import quantise, templates
 
@@ -132,3 +132,14 @@ def test_quantise_welds_and_drops(spark):
     assert q.agg(F.max("x") - F.min("x")).first()[0] == round(0.6 * 1023)
     rotation, shift = quantise.seeded_transform(5)
     assert abs(sum(c * c for c in rotation[:3]) - 1) < 1e-12 and all(abs(s) <= 0.35 for s in shift)
+
+
+def test_long_flat_strip_is_one_patch(spark):
+    at = lambda i: (i // 2, i % 2, 0)
+    rows = []
+    for i in range(150):
+        v = (i, i + 1, i + 2) if i % 2 else (i + 1, i, i + 2)
+        rows.append((1, i, *v, *[c for k in v for c in at(k)]))
+    fat = spark.createDataFrame(rows, "mesh_id long, tid long, v0 long, v1 long, v2 long, " + ", ".join(f"{c} long" for c in mesh.CORNERS))
+    got = merge.patches(fat, b=11).collect()
+    assert len(got) == 150 and {r.patch for r in got} == {0}
