@@ -5,12 +5,12 @@ whole word again), so endings do not hide a stem.  Filters of widths 1, 2 and 3
 response in the document (max pooling) feeds a logistic unit.  Trained in numpy by Adam; max pooling sends gradients to at most
 one place per filter and document.
 
-Thresholds are calibrated by language: on a fifth of the sample, the logit with the best F1 among the documents
-of each language that the text itself shows (votes of common words, never the lang column), all documents where a
-language has fewer than 20 toxic ones.  The logit is shifted so that this threshold scores 0.7.
+Thresholds are calibrated by language: on all labelled rows that were not trained on (a fifth of the sample and whatever is outside it), the logit with the best F1
+among the documents of each language that the text itself shows (votes of common words, never the lang column), all documents where a
+language has fewer than 20 toxic ones.  They come from distributed counts of logits in steps of 1/1024.  The logit is shifted so that this threshold scores 0.7.
 
-Bounds (parameters): at most ``sample`` labelled rows, those with the smallest hash of doc_id.  Scoring
-reads every whole text where it lies; nothing is shuffled but the sample.
+Bounds (parameters): training on at most ``sample`` labelled rows, those with the smallest hash of doc_id.  Scoring
+reads every whole text where it lies, once for the thresholds and once for the result; no text is shuffled but the sample's.
 
 Defined results: empty and null texts have no words and get the score of an empty pool; repeated rows score equally;
 null doc_ids are never learnt from; with fewer than 8 labelled rows, or only one label, every score is 0; extra columns pass through.
@@ -32,6 +32,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 HEADS = (4, 5, 6, 7)
 CUT = 0.7
+STEPS = 1024
 COMMON = (
     ("the", "and", "of", "to", "in", "that", "is", "with", "was", "are"),
     ("der", "die", "und", "das", "von", "nicht", "mit", "auf", "ist", "zu"),
@@ -84,6 +85,7 @@ class Cnn:
         self.c = np.zeros(1, np.float32)
         self.shift = np.zeros(len(COMMON))
         self.trained = False
+        self.learnt: list = []
 
     def embed(self, ids: np.ndarray) -> np.ndarray:
         x = self.E[ids[:, 0]]
@@ -225,6 +227,7 @@ def learn(known: DataFrame) -> Cnn:
         train = np.flatnonzero(~test)
     ids, off = pack(train)
     model.fit(ids, off, y[train])
+    model.learnt = got["doc_id"].take(pa.array(train)).to_pylist()
     held = np.flatnonzero(test)
     ids, off = pack(held)
     z = model.logits(ids, off).astype(float)
@@ -236,10 +239,49 @@ def learn(known: DataFrame) -> Cnn:
     return model
 
 
+def calibrate(model: Cnn, docs: DataFrame, labels: DataFrame) -> None:
+    """Thresholds by language over every labelled row that was not trained on; ``learn``'s stay where these show one label only."""
+
+    def count(batches):
+        import pyarrow.compute as pc
+
+        for b in batches:
+            b = b.filter(pc.invert(pc.is_in(b.column(0), value_set=pa.array(model.learnt, b.column(0).type))))
+            buf, off = text_buffer(b.column(1))
+            step, langs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in slices(off, 1 << 21):
+                ids, rows, lang = word_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                step.append(np.floor(np.clip(model.logits(ids, rows).astype(float), -40, 40) * STEPS).astype(np.int64))
+                langs.append(lang)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(langs)), pa.array(np.concatenate(step))], names=["doc_id", "lang", "step"])
+
+    known = labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    seen = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(count, "doc_id long, lang long, step long").join(known, "doc_id")
+    got = seen.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("hits")).toArrow()
+    lang, step, n, hits = (np.array(got[c].to_pylist(), np.int64) for c in ("lang", "step", "n", "hits"))
+    if not 0 < hits.sum() < n.sum():
+        return
+    for k in range(len(COMMON)):
+        mine = lang == k
+        mine = mine if hits[mine].sum() >= 20 else np.ones(len(lang), bool)
+        model.shift[k] = np.log(CUT / (1 - CUT)) - counted_cut(step[mine], n[mine], hits[mine])
+
+
+def counted_cut(step: np.ndarray, n: np.ndarray, hits: np.ndarray) -> float:
+    """``f1_cut`` on counts by step."""
+    s = np.unique(step)[::-1]
+    at = np.searchsorted(-s, -step)
+    n, hits = np.bincount(at, n, len(s)), np.bincount(at, hits, len(s))
+    k = int(np.argmax(2 * np.cumsum(hits) / (np.cumsum(n) + max(hits.sum(), 1))))
+    return float(s[k] / STEPS - 0.5 if k == len(s) - 1 else (s[k] + s[k + 1] + 1) / (2 * STEPS))
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``.  ``labels``: doc_id, label; the caller keeps held-out rows away from it."""
     chosen = labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
     model = learn(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most ``sample`` rows of two numbers
+    if model.trained:
+        calibrate(model, docs, labels)
     docs = docs.drop("score", "predicted")
     schema = T.StructType(docs.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -220,6 +220,21 @@ def test_classifiers_learn(spark, docs, none):
         assert module.classify(docs, known.limit(0)).count() == docs.count()
 
 
+def test_thresholds_come_from_all_labelled_rows(spark):
+    rows = [(d, " ".join(["el los las con"] * 3) + " " + t if d % 4 == 1 or d % 8 == 0 else t, y) for d, t, _, y in labelled(n=400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").cache()
+    model = toxicity_cnn.learn(df.where("doc_id % 5 = 0"))
+    toxicity_cnn.calibrate(model, df.select("doc_id", "text"), df.select("doc_id", "label"))
+    rest = [r for r in rows if r[0] not in set(model.learnt)]
+    ids, off, lang = toxicity_cnn.word_ids(np.frombuffer("".join(t for _, t, _ in rest).encode(), np.uint8), np.cumsum([0] + [len(t) for _, t, _ in rest]))
+    z, y = model.logits(ids, off).astype(float), np.array([r[2] for r in rest])
+    assert len(model.learnt) == 64 and (y[lang == 3] > 0).sum() >= 20
+    f1 = lambda p, y: 2 * (p & (y > 0)).sum() / (p.sum() + (y > 0).sum())
+    for k in (0, 3):
+        cut = np.log(toxicity_cnn.CUT / (1 - toxicity_cnn.CUT)) - model.shift[k]
+        assert f1(z[lang == k] >= cut, y[lang == k]) >= f1(z[lang == k] >= toxicity_cnn.f1_cut(z[lang == k], y[lang == k]), y[lang == k]) - 0.02
+
+
 def test_gradient_of_mil():
     rng = np.random.default_rng(0)
     x, off, y, w = rng.normal(size=(9, mil_quality.N_FEATURES)), np.array([0, 2, 3, 9]), np.array([0.0, 1, 1]), np.ones(3)
