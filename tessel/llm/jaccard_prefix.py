@@ -1,14 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filtering, then verification of whole sets.
+"""Near copies by Jaccard similarity of word shingles: SimHash links first, then an exact completion, all verified on whole sets.
 
-Sets: words and shingles as in simhash_pivot, ``shingle`` words each, without repeats, by 64-bit hashes (fewer words: the whole sequence; none: the
-empty set).  Equal sets are one row from the start.  Two sets of similarity ``NUM / DEN`` or more share an element of their prefixes, the
-first n - ceil(n * NUM / DEN) + 1 elements in one order of all elements; elements that are frequent in a sample of the rows come last
-in it, so common lines seldom are in a prefix (the sample decides about speed only, never about results).
+Sets: words as in simhash_pivot, shingles of ``shingle`` words, without repeats, by 64-bit hashes (fewer words: the whole sequence; none: the
+empty set).  Equal sets are one node from the start.  Nodes are linked at a similarity of ``NUM / DEN`` or more.
 
-Sets that share such an element are compared in two steps.  First each is compared with the smallest of its list for its first elements,
-and components are taken; then pairs of different components that sizes and positions allow are compared, so a large
-group of near copies does not compare all its pairs.  Before whole sets are fetched, pairs are discarded by the parities of the sets' elements in
-``BITS`` classes: they differ in no more classes than the sets do in elements.  Lists over ``most`` sets are dealt out as pairs of their parts.  The result is exact up to collisions of the hashes.
+First the pivot tables of simhash_pivot propose pairs by the sets' own SimHash.  No width of SimHash finds every pair of that similarity, so prefix
+filtering completes them: two such sets share an element of their prefixes, the first n - ceil(n * NUM / DEN) + 1 elements in one order of all
+elements; elements that are frequent in a sample of the rows come last in it, so common lines seldom are in a prefix (the sample decides about
+speed only, never about results).  Sets are listed by the elements of their prefixes.  In a first round each is compared with the smallest of its
+list for its first elements; those and SimHash's pairs, verified, give components.  Lists that lie in one component need nothing more.  In
+the others, pairs of different components that sizes and positions allow are discarded by the parities of the sets' elements in
+classes (sets differ in as many elements as classes at least), and what is left is verified.  So a large group of near copies hands on few of its
+pairs, whether they are similar or just too different.  Elements that are frequent in the sample are listed in parts from the start and every list over
+``most`` sets is dealt out as pairs of its parts, so no list outgrows a task.  The result is exact up to collisions of the hashes.
+
+Defined results: null and empty texts have the empty set and are copies of each other; doc_id may be null or repeated, with equal or different texts; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import HASH_P, LOWER, materialize, min_label_components, mix64, n_parts, prefix_hash, release, slices, span_hash, text_buffer, word_spans
+from .simhash_pivot import pivot_links
+from .util import HASH_P, LOWER, files, hold, materialize, min_label_components, mix64, n_parts, prefix_hash, release, slices, span_hash, text_buffer, word_spans
 
 NUM, DEN = 4, 5
 SAMPLE = 64
-BITS = 1024
-SET = "doc_id long, fp long, n long, elements binary, parity binary"
+SHORT, LONG = 256, 1024
+SHORT_SET = 256
+SET = "doc_id long, mark long, fp long, sim long, n int, parity binary, elements binary"
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,141 +54,295 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.nda
     return h[new], np.searchsorted(row[new], np.arange(len(off)))
 
 
-def sets_of(docs: DataFrame, shingle: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """doc_id, fp (hash of the set), n, elements: the prefix if ``frequent`` is given, else all."""
+def simhashes(h: np.ndarray, row: np.ndarray, n: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """SimHash of each row's set, from the sets' own hashes."""
+    ones = np.zeros((len(n), 64), np.int32)
+    for i in range(0, len(h), block):
+        r = row[i : i + block]
+        bits = np.unpackbits(h[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        ones[r[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def parities(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each row the parity of its elements in LONG classes, or in SHORT ones (LONG's folded) for a set of SHORT_SET elements or fewer."""
+    odd = np.bincount(row * LONG + (h % np.uint64(LONG)).astype(np.int64), minlength=len(n) * LONG).astype(np.uint8) & 1
+    odd = np.packbits(odd.reshape(len(n), LONG), axis=1)
+    fold = np.bitwise_xor.reduce(odd.reshape(len(n), LONG // SHORT, SHORT // 8), axis=1)
+    return [(fold if k <= SHORT_SET else odd)[i].tobytes() for i, k in enumerate(n.tolist())]
+
+
+def folded(parity: list[bytes]) -> np.ndarray:
+    """Parities in SHORT classes, as words of 64 bits."""
+    out = np.zeros((len(parity), SHORT // 8), np.uint8)
+    for size in {len(p) for p in parity}:
+        at = np.array([i for i, p in enumerate(parity) if len(p) == size])
+        x = np.frombuffer(b"".join([parity[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1, SHORT // 8)
+        out[at] = np.bitwise_xor.reduce(x, axis=1)
+    return out.view(np.uint64)
+
+
+def differ(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many classes each pair of parities differs, at least."""
+    both = [p if len(p) == len(q) else None for p, q in zip(x, y, strict=True)]
+    d = np.bitwise_count(folded(x) ^ folded(y)).sum(axis=1, dtype=np.int64)
+    at = np.array([i for i, p in enumerate(both) if p is not None and len(p) == LONG // 8], np.int64)
+    if len(at):
+        a, b = (np.frombuffer(b"".join([v[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1) for v in (x, y))
+        d[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return d
+
+
+def rows_of(buf: np.ndarray, off: np.ndarray, shingle: int):
+    """For blocks of rows: (first row, hashes, row of each, sizes, fp)."""
+    for i, j in slices(off, 1 << 20, 1024):
+        h, at = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+        n = np.diff(at)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(HASH_P)))])
+        fp = np.where(n > 0, mix64((total[at[1:]] - total[at[:-1]]) ^ mix64(n.astype(np.uint64))), 0).astype(np.uint64)
+        yield h, np.repeat(np.arange(len(n)), n), n, fp
+
+
+def sets_of(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
+    """SET of every row of ``docs`` (doc_id, text): ``mark`` a hash of the text, ``fp`` one of the set, ``elements`` the prefix."""
 
     def run(batches):
         for b in batches:
-            buf, off = text_buffer(b.column(1))
-            fps, sizes, sets, parity = [], [], [], []
-            for i, j in slices(off, 1 << 21):
-                h, at = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
-                n = np.diff(at)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(HASH_P)))])
-                fps.append(np.where(n > 0, mix64((total[at[1:]] - total[at[:-1]]) ^ mix64(n.astype(np.uint64))), 0).astype(np.uint64))
-                sizes.append(n)
-                take = n
-                row = np.repeat(np.arange(len(n)), n)
-                odd = np.bincount(row * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=len(n) * BITS) % 2
-                parity += [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(len(n), BITS), axis=1)]
-                if frequent is not None:
-                    often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
-                    h = h[np.lexsort((h, often, row))]
-                    take = np.where(n > 0, n + n * NUM // -DEN + 1, 0)
-                sets += [h[a : a + k].tobytes() for a, k in zip(at[:-1].tolist(), take.tolist(), strict=True)]
-            fp, n = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (fps, sizes))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(sets, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "fp", "n", "elements", "parity"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SET)
-
-
-def listed(batches):
-    """(element, fp, rep, n, place) of every element."""
-    for b in batches:
-        k = [len(x) // 8 for x in b.column(3).to_pylist()]
-        e = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64)
-        place = np.concatenate([np.arange(x) for x in k]) if k else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(e), *[pa.array(np.repeat(np.asarray(b.column(c)), k)) for c in range(3)], pa.array(place)], names=["element", "fp", "rep", "n", "place"])
-
-
-def similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Of ``pairs`` (fp_a, a, fp_b, b) the representatives a, b of those whose sets are similar."""
+            buf, off = text_buffer(b.column(2))
+            out = [[], [], [], [], []]
+            for h, row, n, fp in rows_of(buf, off, shingle):
+                often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
+                head = h[np.lexsort((h, often, row))]
+                at, take = np.cumsum(n) - n, np.where(n > 0, n + n * NUM // -DEN + 1, 0)
+                found = (fp, simhashes(h, row, n), n, parities(h, row, n), [head[a : a + k].tobytes() for a, k in zip(at.tolist(), take.tolist(), strict=True)])
+                for o, x in zip(out, found, strict=True):
+                    o.append(x)
+            fp, sim, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[:3])
+            binary = [pa.array([y for x in o for y in x], pa.binary()) for o in out[3:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(n.astype(np.int32)), *binary], names=[x.split()[0] for x in SET.split(", ")])
 
-    def may(batches):
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
-            n = np.asarray(t.column(6)) + np.asarray(t.column(7))
-            ok = pa.array((NUM + DEN) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * n)
-            yield pa.RecordBatch.from_arrays([t.column(k).filter(ok) for k in range(4)], names=["fp_a", "a", "fp_b", "b"])
+    return marked(docs).mapInArrow(run, SET)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): ``mark`` is a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of("text").alias("mark"), "text")
+
+
+def mark_of(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def often_in(docs: DataFrame, shingle: int, at_least: int = 4, limit: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that ``at_least`` of a sample of the rows have, increasing, and how many have them; the ``limit`` most frequent."""
+
+    def run(batches):
+        for b in batches:
+            for h, _, _, _ in rows_of(*text_buffer(b.column(0)), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["element"])
+
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
+    got = few.mapInArrow(run, "element long").groupBy("element").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= at_least)
+    got = got.orderBy(F.col("c").desc(), "element").limit(limit).toArrow()
+    e, c = np.asarray(got["element"], np.int64).view(np.uint64), np.asarray(got["c"], np.int64)
+    order = np.argsort(e)
+    return e[order], c[order]
+
+
+def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, most: int, parts: int) -> DataFrame:
+    """(element, fp, n, place, part, low, low_n): the lists of two sets or more; ``low`` is the part's smallest set, ``part`` holds about ``most`` sets at most."""
+    salts = np.maximum(1, counts * SAMPLE // most)
+
+    def listed(batches):
+        for b in batches:
+            sets = b.column(2).to_pylist()
+            k = np.array([len(x) // 8 for x in sets], np.int64)
+            e = np.frombuffer(b"".join(sets), np.uint64)
+            fp, n = np.repeat(np.asarray(b.column(0)), k), np.repeat(np.asarray(b.column(1)), k)
+            place = np.arange(len(e)) - np.repeat(np.cumsum(k) - k, k)
+            at = np.minimum(np.searchsorted(frequent, e), max(0, len(frequent) - 1))
+            many = np.where(frequent[at] == e, salts[at], 1) if len(frequent) else np.ones(len(e), np.int64)
+            salt = (mix64(fp.view(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(fp), pa.array(n), pa.array(place.astype(np.int32))], names=["element", "salt", "salts", "fp", "n", "place"])
+
+    def shared(batches):
+        """Streams sorted rows; of a list only its first row and its length so far are kept."""
+        names = ["element", "fp", "n", "place", "part", "low", "low_n"]
+        key, first, seen, held = None, None, 0, None
+        for b in batches:
+            e, salt, salts_, fp, n, place = (np.asarray(b.column(k)) for k in range(6))
+            if not len(e):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (salt[1:] != salt[:-1])]))
+            ends = np.concatenate([starts[1:], [len(e)]])
+            goes_on = key == (e[0], salt[0])
+            length = ends - starts
+            low, low_n, before = fp[starts].copy(), n[starts].copy(), np.zeros(len(starts), np.int64)
+            if goes_on:
+                low[0], low_n[0], before[0] = first[0], first[1], seen
+            keep = (length + before > 1) | (salts_[starts] > 1)
+            keep[-1] |= True  # the next batch may go on with it
+            held_now = length[-1] + before[-1] == 1 and salts_[starts[-1]] == 1
+            group = np.repeat(np.arange(len(starts)), length)
+            number = np.arange(len(e)) - starts[group] + before[group]
+            part = salt + salts_ * (number // most).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (e, fp, n, place, part.astype(np.int32), low[group], low_n[group])], names=names)
+            if held is not None and goes_on:
+                yield held
+            mask = keep[group]
+            held = None
+            if held_now:
+                held = out.slice(len(e) - 1, 1)
+                mask[-1] = False
+            yield out.filter(pa.array(mask))
+            key, first, seen = (e[-1], salt[-1]), (low[-1], low_n[-1]), int(length[-1] + before[-1])
+
+    rows = nodes.select("fp", "n", "elements").mapInArrow(listed, "element long, salt int, salts int, fp long, n int, place int")
+    return rows.repartition(parts, "element", "salt").sortWithinPartitions("element", "salt", "fp").mapInArrow(shared, "element long, fp long, n int, place int, part int, low long, low_n int")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) of sets that are similar, by whole sets, which are made again from the texts."""
+
+    def whole(batches):
+        for b in batches:
+            fps, sets = [], []
+            for h, _, n, fp in rows_of(*text_buffer(b.column(0)), shingle):
+                end = np.cumsum(n)
+                fps.append(fp)
+                sets += [h[e - k : e].tobytes() for e, k in zip(end.tolist(), n.tolist(), strict=True)]
+            fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(sets, pa.binary())], names=["fp", "elements"])
 
     def verify(batches):
         for t in batches:
-            a, b = (np.asarray(t.column(k)) for k in (0, 1))
-            both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
-            ok = np.array([len(np.intersect1d(x, y, True)) * (NUM + DEN) >= NUM * (len(x) + len(y)) for x, y in both], bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-    def sides(df: DataFrame, names: list[str]) -> list[DataFrame]:
-        return [df.select(F.col("fp").alias(f"fp_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "ab"]
-
-    one, two = sides(reps, ["parity", "n"])
-    met = pairs.distinct().join(one, "fp_a").join(two, "fp_b").select("fp_a", "a", "fp_b", "b", "parity_a", "parity_b", "n_a", "n_b")
-    left = materialize(met.mapInArrow(may, "fp_a long, a long, fp_b long, b long"))
-    wanted = left.select(F.col("fp_a").alias("fp"), F.col("a").alias("doc_id")).union(left.select("fp_b", "b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = materialize(sets_of(texts, shingle).join(wanted, ["doc_id", "fp"], "left_semi").select("fp", "elements").dropDuplicates(["fp"]))
-    one, two = sides(sets, ["elements"])
-    out = materialize(left.join(one, "fp_a").join(two, "fp_b").select("a", "b", "elements_a", "elements_b").mapInArrow(verify, "a long, b long"))
-    release(sets)
-    release(left)
+            both = [(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(t.column(2), t.column(3), strict=True)]
+            ok = pa.array([len(np.intersect1d(x, y, True)) * (NUM + DEN) >= NUM * (len(x) + len(y)) for x, y in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
+
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    where = nodes.join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
+    texts = marked(docs)
+    texts = texts.join(where, texts["doc_id"].eqNullSafe(where["_d"]) & (texts["mark"] == where["_m"]), "left_semi").select("text")
+    sets = hold(texts.mapInArrow(whole, "fp long, elements binary").dropDuplicates(["fp"]))
+    one, two = (sets.select(F.col("fp").alias(k), F.col("elements").alias(f"elements_{k}")) for k in "ab")
+    links = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "elements_a", "elements_b").mapInArrow(verify, "a long, b long").repartition(files(pairs.count())))
+    sets.unpersist()
+    release(pairs)
+    return links
+
+
+def first_pairs(nodes: DataFrame, lists: DataFrame, reach: int) -> DataFrame:
+    """(a, b) proposed by SimHash and by each list's smallest set, without those that sizes or parities rule out."""
+    sims = hold(nodes.groupBy("sim").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("c")))
+    links = pivot_links(sims.select(F.col("sim").alias("fp"), "rep"), sims.count(), reach)
+    same = nodes.join(sims.where("c > 1"), "sim").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    star = lists.where("place < 2").select("element", "low", "fp")
+    dealt = lists.groupBy("element").agg(F.max("part").alias("p"), F.min("low").alias("least")).where("p > 0").select("element", "least")  # lists in parts have one smallest set as well
+    across = star.join(dealt, "element").select(F.col("least").alias("a"), F.explode(F.array("low", "fp")).alias("b"))
+    pairs = links.union(same).union(star.select(F.col("low").alias("a"), F.col("fp").alias("b"))).union(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+
+    def may(batches):
+        for t in batches:
+            n = np.asarray(t.column(2)).astype(np.int64) + np.asarray(t.column(3))
+            ok = pa.array((NUM + DEN) * differ(t.column(4).to_pylist(), t.column(5).to_pylist()) <= (DEN - NUM) * n)
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
+
+    met = pairs.join(one, "a").join(two, "b").where(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
+    out = materialize(met.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(may, "a long, b long").repartition(files(lists.count())))
+    links.unpersist()
+    sims.unpersist()
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = 2048) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs`` (doc_id, text), defined as in simhash_pivot."""
-    parts = n_parts(docs)
-    few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
-    named = sets_of(few, shingle).withColumn("rep", F.coalesce("doc_id", F.lit(0))).select("fp", "rep", "n", "elements")
-    often = _elements(named).groupBy("element").agg(F.count(F.lit(1)).alias("c")).where("c >= 4").orderBy(F.col("c").desc(), "element").limit(50_000)
-    frequent = np.sort(np.array([r.element for r in often.collect()], np.int64).view(np.uint64))
-    found = materialize(sets_of(docs, shingle, frequent))
-    prints = found.select("doc_id", "fp")
-    reps = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("elements").alias("elements"), F.first("parity").alias("parity"), F.count(F.lit(1)).alias("rows")))
-    known = reps.where("rep is not null").select("fp", "rep", "n", "elements")
-    lists = _elements(known)
-    shared = lists.groupBy("element").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "fp", "n")).alias("low")).where("m > 1")
-    lists = materialize(lists.join(shared, "element"))
-    sized = (DEN * F.least("n", "low.n") >= NUM * F.greatest("n", "low.n")) & (F.col("fp") != F.col("low.fp"))
-    first = lists.where((F.col("place") < 2) & sized).select(F.col("low.fp").alias("fp_a"), F.col("low.rep").alias("a"), F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
-    links = similar(first, reps, docs, shingle)
-    label = materialize(min_label_components(links))
-    r = F.ceil(F.col("m") / most)
-    mine = F.pmod(F.xxhash64("fp"), r)
+def other_pairs(nodes: DataFrame, lists: DataFrame, label: DataFrame, parts: int) -> DataFrame:
+    """(a, b) of one list and of different components that sizes, positions and parities allow."""
+    told = lists.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    told = hold(told.select("element", "fp", "n", "place", "part", "label"))
+    mixed = told.groupBy("element").agg((F.max("part") + 1).alias("r"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("element", "r")
+    rows = told.join(mixed, "element").join(nodes.select("fp", "parity"), "fp")
+    r, mine = F.col("r").cast("long"), F.col("part").cast("long")
     keys = F.transform(F.sequence(F.lit(0).cast("long"), r - 1), lambda j: F.xxhash64("element", F.least(mine, j), F.greatest(mine, j)))
-    dealt = lists.join(label, lists["rep"] == label["node"], "left").select(F.explode(F.when(F.col("m") <= most, F.array("element")).otherwise(keys)).alias("cell"), "element", "fp", "rep", "n", "place", F.coalesce("label", "rep").alias("label"))
+    dealt = rows.select(F.explode(keys).alias("cell"), "element", "fp", "n", "place", "label", "parity")
 
     def pair(batches):
-        kept = None
+        kept, tail = None, []
         for b in batches:
-            t = [np.asarray(b.column(k)) for k in range(7)]
+            t, parity = [np.asarray(b.column(k)) for k in range(6)], b.column(6).to_pylist()
             if kept is not None:
-                t = [np.concatenate(x) for x in zip(kept, t, strict=True)]
+                t, parity = [np.concatenate(x) for x in zip(kept, t, strict=True)], tail + parity
             if not len(t[0]):
                 continue
             cut = np.flatnonzero(np.concatenate([[True], (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1])]))
-            kept = [x[cut[-1] :] for x in t]
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                yield from pairs_of([x[s:e] for x in t])
+            kept, tail = [x[cut[-1] :] for x in t], parity[cut[-1] :]
+            found = [p for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for p in pairs_of([x[s:e] for x in t[2:]], parity[s:e])]
+            yield from once(found)
         if kept is not None:
-            yield from pairs_of(kept)
+            for p in pairs_of(kept[2:], tail):
+                yield from once([p])
 
-    near = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "element").mapInArrow(pair, "fp_a long, a long, fp_b long, b long")
-    links = links.union(similar(near, reps, docs, shingle))
-    release(lists)
-    comps = min_label_components(links)
-    groups = reps.join(comps, reps["rep"] == comps["node"], "left").where("rows > 1 or label is not null")
-    groups = groups.select("fp", F.coalesce("label", "rep").alias("component_id"))
-    return prints.join(groups, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "element").mapInArrow(pair, "a long, b long").distinct()
+    out = materialize(out.repartition(files(told.count())))
+    told.unpersist()
+    return out
 
 
-def _elements(sets: DataFrame) -> DataFrame:
-    """A row for each element of ``sets`` (fp, rep, n, elements)."""
-    return sets.select("fp", "rep", "n", "elements").mapInArrow(listed, "element long, fp long, rep long, n long, place long")
+def once(found: list[np.ndarray]):
+    if found:
+        p = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
 
-def pairs_of(t: list[np.ndarray], block: int = 512):
-    """Pairs of one list that differ in component and that sizes and positions allow.  t: cell, element, fp, rep, n, place, label."""
-    _, _, fp, rep, n, place, label = t
+def pairs_of(t: list[np.ndarray], parity: list[bytes], block: int = 512):
+    """Pairs (smaller, greater) of one list that differ in component and that sizes, positions and parities allow.  t: fp, n, place, label."""
+    fp, n, place, label = t
+    if len(fp) < 2 or label.min() == label.max():
+        return
+    n, place, short = n.astype(np.int64), place.astype(np.int64), folded(parity)
     for i in range(0, len(fp), block):
         a = slice(i, i + block)
         ok = (label[a, None] != label[None, i:]) & ((NUM + DEN) * np.minimum((n - place)[a, None], (n - place)[None, i:]) >= NUM * (n[a, None] + n[None, i:]))
+        ok &= np.arange(i, min(i + block, len(fp)))[:, None] < np.arange(i, len(fp))[None, :]
         x, y = np.nonzero(ok)
         x, y = x + i, y + i
-        up = x < y
-        x, y = x[up], y[up]
-        low = np.where(fp[x] < fp[y], x, y)
-        high = x + y - low
-        yield pa.RecordBatch.from_arrays([pa.array(fp[low]), pa.array(rep[low]), pa.array(fp[high]), pa.array(rep[high])], names=["fp_a", "a", "fp_b", "b"])
+        for s in range(0, len(x), 1 << 18):
+            u, v = x[s : s + (1 << 18)], y[s : s + (1 << 18)]
+            most = (DEN - NUM) * (n[u] + n[v])
+            near = (NUM + DEN) * np.bitwise_count(short[u] ^ short[v]).sum(axis=1, dtype=np.int64) <= most
+            u, v, most = u[near], v[near], most[near]
+            if len(u):
+                near = (NUM + DEN) * differ([parity[k] for k in u.tolist()], [parity[k] for k in v.tolist()]) <= most
+                u, v = u[near], v[near]
+            if len(u):
+                yield np.stack([np.minimum(fp[u], fp[v]), np.maximum(fp[u], fp[v])], axis=1)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, reach: int = 2, most: int = 2048) -> DataFrame:
+    """doc_id, mark (a hash of the text), fp, component_id and stays for every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id of the component, null if none has one; ``stays`` marks the rows of the component's first (doc_id, fp, mark), nulls
+    last: one text of each component.
+    """
+    parts = n_parts(docs)
+    frequent, counts = often_in(docs, shingle)
+    found = hold(sets_of(docs, shingle, frequent))
+    nodes = hold(found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "mark", "n", "sim", "parity", "elements"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s")).select("fp", "s.*"))
+    lists = hold(shared_lists(nodes, frequent, counts, most, parts))
+    links = verified(first_pairs(nodes, lists, reach), nodes, docs, shingle)
+    label = min_label_components(links)
+    more = verified(other_pairs(nodes, lists, label, parts), nodes, docs, shingle)
+    if not more.isEmpty():
+        label = min_label_components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    told = found.select("doc_id", "mark", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    first = told.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "fp", "mark")).alias("first"))
+    told = told.join(first, "label")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp")) & (F.col("mark") == F.col("first.mark"))
+    out = materialize(told.select("doc_id", "mark", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays")).repartition(files(found.count())))
+    for df in (found, nodes, lists):
+        df.unpersist()
+    return out
 
 
 def brute_force(rows: list[tuple], shingle: int = 5) -> dict:

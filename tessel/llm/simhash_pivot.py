@@ -15,7 +15,7 @@ Equal fingerprints are one row from the start (a partial aggregation), so groups
 
 Defined results: null and empty texts have fingerprint zero and link like any other; component_id is the smallest doc_id
 reachable, its own for a lone document; documents without doc_id belong to their fingerprint's component, null when it has no
-doc_id at all; repeated rows give equal rows; extra columns pass through ``near_duplicates``.
+doc_id at all; repeated rows give equal rows; extra columns pass through ``near_duplicates``, save one named component_id, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialize, min_label_components, mix64, n_parts
+from .util import hold, materialize, min_label_components, mix64, n_parts
 
 SHINGLE = 3
 WIDTH = 8
@@ -112,15 +112,12 @@ def links_in_cell(fp: np.ndarray, rep: np.ndarray, table: np.ndarray, reach: int
     return rep[hung], rep[label[hung]]
 
 
-def near_duplicates(prints: DataFrame, reach: int = 2, per_cell: int = 64, most: int = 2048) -> DataFrame:
-    """``prints`` (doc_id, fp and more) with component_id."""
-    spark = prints.sparkSession
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    n = reps.count()
+def pivot_links(known: DataFrame, n: int, reach: int = 2, per_cell: int = 64, most: int = 2048) -> DataFrame:
+    """(a, b) links of ``known`` (fp, rep; ``n`` rows, each fp once) that connect all whose fingerprints differ in ``reach`` bits or fewer."""
     depth = 0 if n <= 2 * per_cell else int(np.ceil(np.log(n / per_cell) / np.log(2.2)))
     all_pivots = pivots(depth + CHECKS)
     grid, checks = all_pivots[:depth], all_pivots[depth:]
-    parts = n_parts(prints)
+    parts = n_parts(known)
 
     def enter(batches):
         for b in batches:
@@ -128,16 +125,12 @@ def near_duplicates(prints: DataFrame, reach: int = 2, per_cell: int = 64, most:
             who, cell = enter_cells(fp, grid, reach)
             yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[who].view(np.int64)), pa.array(rep[who])], names=["cell", "fp", "rep"])
 
-    known = reps.where("rep is not null").select("fp", "rep")
-    cells = materialize(known.repartition(parts).mapInArrow(enter, "cell long, fp long, rep long"))
-    large = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select("cell", F.ceil(F.col("m") / most).alias("r")))
-    if large.isEmpty():
-        dealt = cells
-    else:
-        joined = cells.join(large, "cell", "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("r"))
-        keys = F.transform(F.sequence(F.lit(0).cast("long"), F.col("r") - 1), lambda j: F.xxhash64(F.col("cell"), F.least(mine, j), F.greatest(mine, j)))
-        dealt = joined.select(F.explode(F.when(F.col("r").isNull(), F.array("cell")).otherwise(keys)).alias("cell"), "fp", "rep")
+    cells = hold(known.select("fp", "rep").repartition(parts).mapInArrow(enter, "cell long, fp long, rep long"))
+    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select("cell", F.ceil(F.col("m") / most).alias("r"))
+    joined = cells.join(large, "cell", "left")
+    mine = F.pmod(F.xxhash64("fp"), F.col("r"))
+    keys = F.transform(F.sequence(F.lit(0).cast("long"), F.col("r") - 1), lambda j: F.xxhash64(F.col("cell"), F.least(mine, j), F.greatest(mine, j)))
+    dealt = joined.select(F.explode(F.when(F.col("r").isNull(), F.array("cell")).otherwise(keys)).alias("cell"), "fp", "rep")
 
     def link(batches):
         kept = None
@@ -168,11 +161,20 @@ def near_duplicates(prints: DataFrame, reach: int = 2, per_cell: int = 64, most:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    links = dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long")
+    links = hold(dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long").distinct())
+    cells.unpersist()
+    return links
+
+
+def near_duplicates(prints: DataFrame, reach: int = 2, per_cell: int = 64, most: int = 2048) -> DataFrame:
+    """``prints`` (doc_id, fp and more) with component_id; a column of that name is replaced."""
+    prints = prints.drop("component_id")
+    reps = hold(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    links = pivot_links(reps.where("rep is not null"), reps.count(), reach, per_cell, most)
     comps = min_label_components(links)
+    links.unpersist()
     found = reps.join(comps, reps["rep"] == comps["node"], "left").where("n > 1 or label is not null")
     found = found.select(F.col("fp").alias("_sh_fp"), F.coalesce("label", "rep").alias("component_id"))
-    del spark
     return prints.join(found, prints["fp"] == found["_sh_fp"], "left").drop("_sh_fp").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import LOWER, crc_mod, mix64, prefix_hash, slices, span_hash, text_buffer, word_spans
+from .util import LOWER, crc_mod, give_back, mix64, prefix_hash, slices, span_hash, text_buffer, word_spans
 
 TABLE_BITS = 15
 DIM = 8
@@ -282,6 +282,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFram
     model = learn(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most ``sample`` rows of two numbers
     if model.trained:
         calibrate(model, docs, labels)
+    give_back()  # what training held
     docs = docs.drop("score", "predicted")
     schema = T.StructType(docs.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,31 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Computed once, on the executors' disks, for several later plans; what a lost executor held is computed again from its lineage.  ``DataFrame.unpersist`` ends it."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+def files(rows: int, per_file: int = 1 << 20) -> int:
+    """In how many files a narrow table of about ``rows`` rows is written."""
+    return 1 + rows // per_file
+
+
+def give_back() -> None:
+    """Freed memory of this Python process goes back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,13 +118,14 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[base : int(off[-1]) if len(off) else 0], (off - base).astype(np.int64)
 
 
-def slices(off: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Runs of whole rows with about ``most`` bytes each; a longer row stands alone."""
+def slices(off: np.ndarray, most: int, rows: int = 1 << 62) -> list[tuple[int, int]]:
+    """Runs of whole rows with about ``most`` bytes and at most ``rows`` rows each; a longer row stands alone."""
     out, n, i = [], len(off) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
-        out.append((i, min(j, n)))
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        out.append((i, j))
+        i = j
     return out
 
 
@@ -160,12 +187,14 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) with the smallest node reachable, for every node that has a link.
 
-    Alternating large-star and small-star rounds over (a, b) links; each round is written to the shared
-    folder.  A round never gathers a node's links: it takes the smallest neighbour by a partial
-    aggregation and joins it back, so a hub is as cheap as its links.
+    Alternating large-star and small-star rounds over (a, b) links; each round is written to the shared folder in few files, which
+    cuts plan and lineage.  A round never gathers a node's links: it takes the smallest neighbour by a partial aggregation
+    and joins it back; the joins of a hub's links are ones that adaptive execution splits.  The rounds end when count and checksum
+    of the links stay the same.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = materialize(pairs)
+    mark = lambda p: tuple(p.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    pairs = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().repartition(files(edges.count())))
+    told = mark(pairs)
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -173,13 +202,16 @@ def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.a", "s.b")
-        after = materialize(small.where("a <> b").distinct())
-        same = after.count() == pairs.count() and after.join(pairs, ["a", "b"], "left_anti").isEmpty()
+        after = materialize(small.where("a <> b").distinct().repartition(files(told[0])))
+        now = mark(after)
         release(pairs)
-        pairs = after
+        pairs, same, told = after, now == told, now
         if same:
             break
     else:
         raise RuntimeError("components did not settle")
     nodes = pairs.groupBy("a").agg(F.min("b").alias("label"))
-    return nodes.select(F.col("a").alias("node"), "label").union(pairs.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    found = nodes.select(F.col("a").alias("node"), "label").union(pairs.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    found = materialize(found.repartition(files(2 * told[0])))
+    release(pairs)
+    return found

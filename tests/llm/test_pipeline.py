@@ -17,10 +17,11 @@ def test_stages(spark, data):
         if name in ("toxicity", "simhash_near_dedup"):
             assert out.join(docs, docs.columns, "left_anti").isEmpty() and 0 < out.count() <= docs.count()
         if name == "simhash_near_dedup":
-            from tessel.llm import simhash_pivot
+            from tessel.llm import jaccard_prefix
 
-            rows = [(r.doc_id, r.fp & (1 << 64) - 1) for r in simhash_pivot.fingerprints(docs).collect()]
-            assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(set(simhash_pivot.brute_force(rows).values()))
+            rows = [(r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id"]).collect()]
+            assert len(rows) == docs.count()
+            assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(set(jaccard_prefix.brute_force(rows).values()))
         if name == "pii":
             assert out.count() == docs.count()
             assert out.where(F.col("text").rlike(r"@mail[0-9]|\) 555-")).count() <= 1
@@ -65,3 +66,15 @@ def test_near_copies_of_five_words(spark, data):
     for most in (2048, 2):
         assert {r.doc_id: r.component_id for r in jaccard_prefix.near_duplicates(docs, most=most).collect()} == want
     assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, data).collect()) == sorted(set(want.values()))
+
+
+def test_a_repeated_id_with_other_texts(spark, data):
+    import corpus_pipeline as c
+
+    a, b, x = "one text of seven words in all", "another one that shares nothing with it", "a third text without any copy here"
+    rows = [(5, a), (5, b), (3, x), (7, x), (7, "and a fourth text of eight lone words"), (None, a), (None, "only nameless rows have this text here"), (None, "only nameless rows have this text here")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, 2) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id int")
+    out = c.near_duplicates(spark, docs, data)
+    assert out.columns == docs.columns
+    want = [(-1, "only nameless rows have this text here"), (3, x), (5, a), (5, b), (7, "and a fourth text of eight lone words")]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in out.collect()) == sorted(want)
