@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and reads all that its predecessor kept; all but the last return the columns of
 ``documents``.  ``n_chars`` follows a text that a stage changes.
+
+Defined results: an empty table gives empty tables throughout.  Null and empty texts are judged like any other text, count as copies of each other,
+have no private values and no words, so the mix takes none of them.  Null ids and sources are kept as they are; rows that repeat an id are told
+apart by their texts, rows equal in id and text are one document after the second stage.  Extra columns pass through all stages.
 """
 
 from __future__ import annotations
@@ -27,20 +31,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard 0.8 or more) the document with the smallest id stays, once; of documents without id, one a set."""
-    groups = materialize(jaccard_prefix.near_duplicates(docs.select("doc_id", "text")))
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near copies one document stays: SimHash's links of op7's pivot tables on five-word shingles, and what they miss, verified at a Jaccard similarity of 0.8.
+
+    The document with the smallest id stays, one without id only where none has one; a repeated id with other texts is another document.
+    """
+    groups = jaccard_prefix.near_duplicates(docs.select("doc_id", "text"))
+    stay = groups.where("stays").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    kept = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
-    if groups.where("doc_id is null and component_id is null").isEmpty():
-        return kept
-    lone = groups.where("doc_id is null and component_id is null").select("fp").distinct()
-    texts = docs.where("doc_id is null").select("text").distinct()
-    marked = texts.withColumn("doc_id", F.xxhash64("text"))
-    by_print = jaccard_prefix.sets_of(marked, 5).select("doc_id", "fp").join(lone, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_h"))
-    nameless = docs.where("doc_id is null").withColumn("_h", F.xxhash64("text")).join(by_print.select("_h"), "_h", "left_semi")
-    return kept.unionByName(nameless.groupBy("_h").agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.lit(None).cast("long").alias(c) if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns]))
+    known = docs.withColumn("_mark", jaccard_prefix.mark_of("text"))
+    one = known.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left_semi")
+    one = one.groupBy("doc_id", "_mark").agg(F.min(F.struct(*rest)).alias("_row"))
+    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a row for each reading of a document, with the words that the reading takes."""
-    return _counted(mixing.readings(mixing.mix(docs))).select(*docs.columns)
+    return _counted(mixing.readings(docs, mixing.mix(docs))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
