@@ -8,15 +8,20 @@ permuted as plain numbers.
 
 Each kind is permuted inside its own format: a keyed two-part Feistel network over Z_a x Z_b with a * b exactly the
 number of valid values (70 x 271 ... days, 2^32 addresses, 10^n digits), so a pseudonym is again valid, different values stay
-different and equal values stay linked across documents.  Numbers that pass Luhn's test get a new check digit.  E-mail
-parts and secrets become keyed digests (48 bits and more) in their format.
+different and equal values stay linked across documents.  Numbers of 13 to 19 digits that pass Luhn's test are permuted among those that do, all
+others among those that do not.  E-mail parts and secrets become keyed digests (48 bits and more) in their format.
+
+The key has no fixed default: it is ``pseudonymise``'s argument or the session's ``spark.tessel.pii.secret``, else one drawn for this process, so
+pseudonyms agree between runs only where a key is given.
 
 Defined results: a null text stays null with 0 found; an empty one stays empty; repeated rows give equal rows; other
-columns pass through (a column named ``n_private`` is replaced).  Digit runs over 36 digits are permuted in pieces of 18.
+columns pass through (a column named ``n_private`` is replaced); an empty table gives an empty result.  Digit runs over 36 digits are permuted in pieces of 18.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +75,30 @@ def luhn_sum(d: str) -> str:
     return f"aggregate(sequence(1, length({d})), 0, (s, i) -> s + if((length({d}) - i) % 2 = 1, cast(substring('0246813579', cast(substring({d}, i, 1) as int) + 1, 1) as int), cast(substring({d}, i, 1) as int)))"
 
 
+def check_digit(body: str) -> str:
+    """The digit that makes ``body`` with it pass Luhn's test."""
+    return f"pmod(10 - {luhn_sum(f'concat({body}, 0)')} % 10, 10)"
+
+
+def no_card(d: str, key: str) -> str:
+    """A string of 13 to 19 digits that fails Luhn's test, permuted among those of its length: its last digit is 1 to 9 above the check digit."""
+    rest = f"(length({d}) - 1 - length({d}) div 2)"
+    body = f"substring({d}, 1, length({d}) - 1)"
+    above = f"pmod(cast(right({d}, 1) as int) - {check_digit(body)}, 10)"
+    hi = f"cast(left({d}, cast(length({d}) div 2 as int)) as bigint)"
+    lo = f"cast(substring({body}, cast(length({d}) div 2 as int) + 1) as bigint) * 9 + {above} - 1"
+    a, b = f"cast(rpad('1', cast(length({d}) div 2 as int) + 1, '0') as bigint)", f"9 * cast(rpad('1', cast({rest} as int) + 1, '0') as bigint)"
+    new = f"concat(lpad(cast(r.x as string), cast(length({d}) div 2 as int), '0'), lpad(cast(r.y div 9 as string), cast({rest} as int), '0'))"
+    end = let(new, "p", f"concat(p, cast(({check_digit('p')} + r.y % 9 + 1) % 10 as string))")
+    return let(feistel(hi, lo, a, b, key, f"concat('other', length({d}))"), "r", end)
+
+
 def number(d: str, key: str) -> str:
-    """Digits permuted; a number of 13 to 19 digits that passes Luhn's test gets a new check digit."""
+    """Digits permuted among those of their length that pass Luhn's test as they do, where 13 to 19 digits make it count."""
     body = f"substring({d}, 1, length({d}) - 1)"
-    card = let(digits(body, key, "'card'"), "p", f"concat(p, cast(pmod(10 - {luhn_sum('concat(p, 0)')} % 10, 10) as string))")
+    card = let(digits(body, key, "'card'"), "p", f"concat(p, cast({check_digit('p')} as string))")
     pieces = f"array_join(transform(sequence(0, (length({d}) - 1) div 18), j -> {let(f'substring({d}, cast(j * 18 + 1 as int), 18)', 'w', digits('w', key))}), '')"
-    return f"case when length({d}) between 13 and 19 and {luhn_sum(d)} % 10 = 0 then {card} when length({d}) <= 36 then {digits(d, key)} else {pieces} end"
+    return f"case when length({d}) between 13 and 19 then if({luhn_sum(d)} % 10 = 0, {card}, {no_card(d, key)}) when length({d}) <= 36 then {digits(d, key)} else {pieces} end"
 
 
 def put_back(m: str, d: str) -> str:
@@ -126,17 +149,26 @@ def pseudonym(m: str, key: str) -> str:
         else {phone} end"""
 
 
-def pseudonymise(docs: DataFrame, key: str = "tessel", column: str = "text") -> DataFrame:
+_DRAWN: list[str] = []
+
+
+def session_key(spark) -> str:
+    """The session's ``spark.tessel.pii.secret``, else a key drawn once for this process."""
+    if not _DRAWN:
+        _DRAWN.append(secrets.token_hex(16))
+    return spark.conf.get("spark.tessel.pii.secret", None) or _DRAWN[0]
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
     """``docs`` with every private value in ``column`` replaced, and ``n_private`` (int), how many were replaced."""
+    key = key or session_key(docs.sparkSession)
     gaps = F.split(column, PRIVATE, -1)
     found = F.regexp_extract_all(column, F.lit(PRIVATE), F.lit(0))
-    new = F.transform(F.col("_pi_found"), lambda m: F.struct(m.alias("m")))
     d = docs.drop("n_private").withColumn("_pi_found", F.when(F.col(column).rlike("[0-9@]|[0-9A-Fa-f]{32}"), found))
     d = d.withColumn("_pi_new", F.expr(f"transform(_pi_found, m -> {pseudonym('m', key)})"))
     d = d.withColumn("n_private", F.coalesce(F.size(F.filter(F.arrays_zip("_pi_found", "_pi_new"), lambda z: z["_pi_found"] != z["_pi_new"])), F.lit(0)))
     joined = F.array_join(F.zip_with(gaps, F.concat(F.col("_pi_new"), F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
     d = d.withColumn(column, F.when(F.size("_pi_found") > 0, joined).otherwise(F.col(column)))
-    del new
     return d.withColumn("n_private", F.when(F.col("n_private") > 0, F.col("n_private")).otherwise(0)).drop("_pi_found", "_pi_new")
 
 
