@@ -6,8 +6,8 @@ empty set).  Equal sets are one node from the start.  Nodes are linked at a simi
 First the pivot tables of simhash_pivot propose pairs by the sets' own SimHash.  No width of SimHash finds every pair of that similarity, so prefix
 filtering completes them: two such sets share an element of their prefixes, the first n - ceil(n * NUM / DEN) + 1 elements in one order of all
 elements; elements that are frequent in a sample of the rows come last in it, so common lines seldom are in a prefix (the sample decides about
-speed only, never about results).  Sets are listed by the elements of their prefixes.  In a first round each is compared with the smallest of its
-list for its first elements; those and SimHash's pairs, verified, give components.  Lists that lie in one component need nothing more.  In
+speed only, never about results).  Sets are listed by the elements of their prefixes.  In a first round each is compared with one of the
+list for its first ``PLACES`` elements; those and SimHash's pairs, verified, give components.  Lists that lie in one component need nothing more.  In
 the others, pairs of different components that sizes and positions allow are discarded by the parities of the sets' elements in
 classes (sets differ in as many elements as classes at least), and what is left is verified.  So a large group of near copies hands on few of its
 pairs, whether they are similar or just too different.  Elements that are frequent in the sample are listed in parts from the start and every list over
@@ -31,6 +31,8 @@ NUM, DEN = 4, 5
 SAMPLE = 64
 SHORT, LONG = 256, 1024
 SHORT_SET = 256
+PLACES = 4
+SMALL = 200_000
 SET = "doc_id long, mark long, fp long, sim long, n int, parity binary, elements binary"
 
 
@@ -151,7 +153,7 @@ def often_in(docs: DataFrame, shingle: int, at_least: int = 4, limit: int = 50_0
 
 
 def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, most: int, parts: int) -> DataFrame:
-    """(element, fp, n, place, part, low, low_n): the lists of two sets or more; ``low`` is the part's smallest set, ``part`` holds about ``most`` sets at most."""
+    """(element, fp, n, place, part, low, low_n): the lists of two sets or more; ``low`` is the part's first set by fp ^ element, so each list has one of its own; ``part`` holds about ``most`` sets at most."""
     salts = np.maximum(1, counts * SAMPLE // most)
 
     def listed(batches):
@@ -164,7 +166,7 @@ def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, mos
             at = np.minimum(np.searchsorted(frequent, e), max(0, len(frequent) - 1))
             many = np.where(frequent[at] == e, salts[at], 1) if len(frequent) else np.ones(len(e), np.int64)
             salt = (mix64(fp.view(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(fp), pa.array(n), pa.array(place.astype(np.int32))], names=["element", "salt", "salts", "fp", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(fp ^ e.view(np.int64)), pa.array(n), pa.array(place.astype(np.int32))], names=["element", "salt", "salts", "turn", "n", "place"])
 
     def shared(batches):
         """Streams sorted rows; of a list only its first row and its length so far are kept."""
@@ -172,6 +174,7 @@ def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, mos
         key, first, seen, held = None, None, 0, None
         for b in batches:
             e, salt, salts_, fp, n, place = (np.asarray(b.column(k)) for k in range(6))
+            fp = fp ^ e
             if not len(e):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (salt[1:] != salt[:-1])]))
@@ -198,8 +201,8 @@ def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, mos
             yield out.filter(pa.array(mask))
             key, first, seen = (e[-1], salt[-1]), (low[-1], low_n[-1]), int(length[-1] + before[-1])
 
-    rows = nodes.select("fp", "n", "elements").mapInArrow(listed, "element long, salt int, salts int, fp long, n int, place int")
-    return rows.repartition(parts, "element", "salt").sortWithinPartitions("element", "salt", "fp").mapInArrow(shared, "element long, fp long, n int, place int, part int, low long, low_n int")
+    rows = nodes.select("fp", "n", "elements").mapInArrow(listed, "element long, salt int, salts int, turn long, n int, place int")
+    return rows.repartition(parts, "element", "salt").sortWithinPartitions("element", "salt", "turn").mapInArrow(shared, "element long, fp long, n int, place int, part int, low long, low_n int")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -222,24 +225,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
 
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    where = nodes.join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
-    texts = marked(docs)
-    texts = texts.join(where, texts["doc_id"].eqNullSafe(where["_d"]) & (texts["mark"] == where["_m"]), "left_semi").select("text")
+    where = hold(nodes.join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")))
+    texts = among(marked(docs), where).select("text")
     sets = hold(texts.mapInArrow(whole, "fp long, elements binary").dropDuplicates(["fp"]))
     one, two = (sets.select(F.col("fp").alias(k), F.col("elements").alias(f"elements_{k}")) for k in "ab")
     links = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "elements_a", "elements_b").mapInArrow(verify, "a long, b long").repartition(files(pairs.count())))
     sets.unpersist()
+    where.unpersist()
     release(pairs)
     return links
 
 
+def among(rows: DataFrame, where: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, mark and more) whose id and mark ``where`` (_d, _m) has; up to SMALL of those are broadcast, so that no text is shuffled."""
+    where = F.broadcast(where) if where.count() <= SMALL else where
+    return rows.join(where, rows["doc_id"].eqNullSafe(where["_d"]) & (rows["mark"] == where["_m"]), "left_semi")
+
+
 def first_pairs(nodes: DataFrame, lists: DataFrame, reach: int) -> DataFrame:
-    """(a, b) proposed by SimHash and by each list's smallest set, without those that sizes or parities rule out."""
+    """(a, b) proposed by SimHash and by each list's first set, without those that sizes or parities rule out."""
     sims = hold(nodes.groupBy("sim").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("c")))
     links = pivot_links(sims.select(F.col("sim").alias("fp"), "rep"), sims.count(), reach)
     same = nodes.join(sims.where("c > 1"), "sim").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
-    star = lists.where("place < 2").select("element", "low", "fp")
-    dealt = lists.groupBy("element").agg(F.max("part").alias("p"), F.min("low").alias("least")).where("p > 0").select("element", "least")  # lists in parts have one smallest set as well
+    star = lists.where(F.col("place") < PLACES).select("element", "low", "fp")
+    dealt = lists.groupBy("element").agg(F.max("part").alias("p"), F.min("low").alias("least")).where("p > 0").select("element", "least")  # lists in parts have one set for all as well
     across = star.join(dealt, "element").select(F.col("least").alias("a"), F.explode(F.array("low", "fp")).alias("b"))
     pairs = links.union(same).union(star.select(F.col("low").alias("a"), F.col("fp").alias("b"))).union(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one, two = (nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
@@ -329,22 +338,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, reach: int = 2, most: int
     frequent, counts = often_in(docs, shingle)
     found = hold(sets_of(docs, shingle, frequent))
     nodes = hold(found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "mark", "n", "sim", "parity", "elements"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s")).select("fp", "s.*"))
+    prints = materialize(found.select("doc_id", "mark", "fp").repartition(files(found.count())))
+    found.unpersist()
     lists = hold(shared_lists(nodes, frequent, counts, most, parts))
     links = verified(first_pairs(nodes, lists, reach), nodes, docs, shingle)
     label = min_label_components(links)
     more = verified(other_pairs(nodes, lists, label, parts), nodes, docs, shingle)
     if not more.isEmpty():
         label = min_label_components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    told = found.select("doc_id", "mark", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    told = prints.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = told.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "fp", "mark")).alias("first"))
     told = told.join(first, "label")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp")) & (F.col("mark") == F.col("first.mark"))
-    out = materialize(told.select("doc_id", "mark", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays")).repartition(files(found.count())))
-    for df in (found, nodes, lists):
+    out = materialize(told.select("doc_id", "mark", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays")).repartition(files(prints.count())))
+    for df in (nodes, lists):
         df.unpersist()
     return out
 
 
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay by ``groups`` (near_duplicates of them), once each: of rows equal in id and text the least by their other columns."""
+    kept = groups.where("stays").groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg((F.count(F.lit(1)) > 1).alias("_often"))
+    kept = hold(kept)
+    known = docs.withColumn("mark", mark_of("text")) if "mark" not in docs.columns else docs.withColumnRenamed("mark", "_own_mark").withColumn("mark", mark_of("text"))
+    own = lambda c: F.col("_own_mark" if c == "mark" else c)
+    once_ = among(known, kept.where("not _often").select("_d", "_m")).select(*[own(c).alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != "doc_id"]
+    least = among(known, kept.where("_often").select("_d", "_m")).groupBy("doc_id", "mark").agg(F.min(F.struct(*[own(c).alias(c) for c in rest])).alias("_row"))
+    return once_.union(least.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns]))
+
+
 def brute_force(rows: list[tuple], shingle: int = 5) -> dict:
     """(doc_id, text) to component_id by comparing all pairs, for tests; ids are distinct."""
     sets = []
