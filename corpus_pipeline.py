@@ -35,13 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The document with the smallest id stays, one without id only where none has one; a repeated id with other texts is another document.
     """
-    groups = jaccard_prefix.near_duplicates(docs.select("doc_id", "text"))
-    stay = groups.where("stays").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    known = docs.withColumn("_mark", jaccard_prefix.mark_of("text"))
-    one = known.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left_semi")
-    one = one.groupBy("doc_id", "_mark").agg(F.min(F.struct(*rest)).alias("_row"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return jaccard_prefix.first_of_each(docs, jaccard_prefix.near_duplicates(docs.select("doc_id", "text")))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
