@@ -7,9 +7,10 @@ First the pivot tables of simhash_pivot propose pairs by the sets' own SimHash.
 filtering completes them: two such sets share an element of their prefixes, the first n - ceil(n * NUM / DEN) + 1 elements in one order of all
 elements; elements that are frequent in a sample of the rows come last in it, so common lines seldom are in a prefix (the sample decides about
 speed only, never about results).  Sets are listed by the elements of their prefixes.  In a first round each is compared with one of the
-list for its first ``PLACES`` elements; those and SimHash's pairs, verified, give components.  Lists that lie in one component need nothing more.  In
+list for its first ``PLACES`` elements and for one in ``OFTEN`` of those that are frequent; those and SimHash's pairs, verified, give components.  Lists that lie in one component need nothing more.  In
 the others, pairs of different components that sizes and positions allow are discarded by the parities of the sets' elements in
-classes (sets differ in as many elements as classes at least), and what is left is verified.  So a large group of near copies hands on few of its
+classes (sets differ in as many elements as classes at least), first in few classes beside the lists, then in classes that grow with the
+sets, and what is left is verified.  So a large group of near copies hands on few of its
 pairs, whether they are similar or just too different.  Elements that are frequent in the sample are listed in parts from the start and every list over
 ``most`` sets is dealt out as pairs of its parts, so no list outgrows a task.  The result is exact up to collisions of the hashes.
 
@@ -30,10 +31,9 @@ from .util import HASH_P, LOWER, files, hold, materialize, min_label_components,
 NUM, DEN = 4, 5
 SAMPLE = 64
 SHORT, LONG = 256, 1024
-SHORT_SET = 256
-PLACES = 4
+PLACES, OFTEN = 4, 8
 SMALL = 200_000
-SET = "doc_id long, mark long, fp long, sim long, n int, parity binary, elements binary"
+SET = "doc_id long, mark long, fp long, sim long, n int, wide binary, parity binary, elements binary"
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,32 +67,54 @@ def simhashes(h: np.ndarray, row: np.ndarray, n: np.ndarray, block: int = 1 << 1
     return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def parities(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """For each row the parity of its elements in LONG classes, or in SHORT ones (LONG's folded) for a set of SHORT_SET elements or fewer."""
-    odd = np.bincount(row * LONG + (h % np.uint64(LONG)).astype(np.int64), minlength=len(n) * LONG).astype(np.uint8) & 1
-    odd = np.packbits(odd.reshape(len(n), LONG), axis=1)
-    fold = np.bitwise_xor.reduce(odd.reshape(len(n), LONG // SHORT, SHORT // 8), axis=1)
-    return [(fold if k <= SHORT_SET else odd)[i].tobytes() for i, k in enumerate(n.tolist())]
+def parities(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """For each row the parity of its elements in classes, two to eight times as many as elements, and that folded to LONG classes at most."""
+    wide = [b""] * len(n)
+    at = np.cumsum(n) - n
+    for size in sorted({classes(k) for k in n.tolist()}):
+        mine = np.flatnonzero([classes(k) == size for k in n.tolist()])
+        for i in range(0, len(mine), max(1, (1 << 22) // size)):
+            some = mine[i : i + max(1, (1 << 22) // size)]
+            own = np.concatenate([h[at[k] : at[k] + n[k]] for k in some.tolist()]) % np.uint64(size)
+            odd = np.bincount(np.repeat(np.arange(len(some)), n[some]) * size + own.astype(np.int64), minlength=len(some) * size).astype(np.uint8) & 1
+            for k, x in zip(some.tolist(), np.packbits(odd.reshape(len(some), size), axis=1), strict=True):
+                wide[k] = x.tobytes()
+    return wide, [x if len(x) <= LONG // 8 else fold([x], LONG // 8).tobytes() for x in wide]
+
+
+def classes(n: int) -> int:
+    """How many classes a set of n elements has."""
+    size = SHORT
+    while size < 2 * n:
+        size *= 4
+    return size
+
+
+def fold(parity: list[bytes], size: int) -> np.ndarray:
+    """Parities of one length of their own, in ``size`` bytes: class c of many is class c modulo few."""
+    x = np.frombuffer(b"".join(parity), np.uint8).reshape(len(parity), -1, size)
+    return np.bitwise_xor.reduce(x, axis=1).view(np.uint64)
 
 
 def folded(parity: list[bytes]) -> np.ndarray:
     """Parities in SHORT classes, as words of 64 bits."""
-    out = np.zeros((len(parity), SHORT // 8), np.uint8)
-    for size in {len(p) for p in parity}:
-        at = np.array([i for i, p in enumerate(parity) if len(p) == size])
-        x = np.frombuffer(b"".join([parity[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1, SHORT // 8)
-        out[at] = np.bitwise_xor.reduce(x, axis=1)
-    return out.view(np.uint64)
+    out = np.zeros((len(parity), SHORT // 64), np.uint64)
+    sizes = np.array([len(p) for p in parity], np.int64)
+    for size in set(sizes.tolist()):
+        at = np.flatnonzero(sizes == size)
+        out[at] = fold([parity[i] for i in at.tolist()], SHORT // 8)
+    return out
 
 
 def differ(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """In how many classes each pair of parities differs, at least."""
-    both = [p if len(p) == len(q) else None for p, q in zip(x, y, strict=True)]
-    d = np.bitwise_count(folded(x) ^ folded(y)).sum(axis=1, dtype=np.int64)
-    at = np.array([i for i, p in enumerate(both) if p is not None and len(p) == LONG // 8], np.int64)
-    if len(at):
-        a, b = (np.frombuffer(b"".join([v[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1) for v in (x, y))
-        d[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    """In how many classes each pair of parities differs, at least: in those of the shorter one."""
+    d = np.zeros(len(x), np.int64)
+    sizes = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    for size in {tuple(k) for k in sizes.tolist()}:
+        at = np.flatnonzero((sizes == size).all(axis=1))
+        for i in range(0, len(at), max(1, (1 << 23) // max(size))):
+            some = at[i : i + max(1, (1 << 23) // max(size))].tolist()
+            d[some] = np.bitwise_count(fold([x[k] for k in some], min(size)) ^ fold([y[k] for k in some], min(size))).sum(axis=1, dtype=np.int64)
     return d
 
 
@@ -112,12 +134,12 @@ def sets_of(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
     def run(batches):
         for b in batches:
             buf, off = text_buffer(b.column(2))
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for h, row, n, fp in rows_of(buf, off, shingle):
                 often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
                 head = h[np.lexsort((h, often, row))]
                 at, take = np.cumsum(n) - n, np.where(n > 0, n + n * NUM // -DEN + 1, 0)
-                found = (fp, simhashes(h, row, n), n, parities(h, row, n), [head[a : a + k].tobytes() for a, k in zip(at.tolist(), take.tolist(), strict=True)])
+                found = (fp, simhashes(h, row, n), n, *parities(h, row, n), [head[a : a + k].tobytes() for a, k in zip(at.tolist(), take.tolist(), strict=True)])
                 for o, x in zip(out, found, strict=True):
                     o.append(x)
             fp, sim, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[:3])
@@ -153,7 +175,7 @@ def often_in(docs: DataFrame, shingle: int, at_least: int = 4, limit: int = 50_0
 
 
 def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, most: int, parts: int) -> DataFrame:
-    """(element, fp, n, place, part, low, low_n): the lists of two sets or more; ``low`` is the part's first set by fp ^ element, so each list has one of its own; ``part`` holds about ``most`` sets at most."""
+    """(element, fp, n, place, part, low, often): the lists of two sets or more; ``low`` is the part's first set by fp ^ element, so each list has one of its own; ``part`` holds about ``most`` sets at most."""
     salts = np.maximum(1, counts * SAMPLE // most)
 
     def listed(batches):
@@ -164,13 +186,13 @@ def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, mos
             fp, n = np.repeat(np.asarray(b.column(0)), k), np.repeat(np.asarray(b.column(1)), k)
             place = np.arange(len(e)) - np.repeat(np.cumsum(k) - k, k)
             at = np.minimum(np.searchsorted(frequent, e), max(0, len(frequent) - 1))
-            many = np.where(frequent[at] == e, salts[at], 1) if len(frequent) else np.ones(len(e), np.int64)
-            salt = (mix64(fp.view(np.uint64)) % many.astype(np.uint64)).astype(np.int32)
+            many = np.where(frequent[at] == e, salts[at], 0) if len(frequent) else np.zeros(len(e), np.int64)  # 0: not frequent
+            salt = (mix64(fp.view(np.uint64)) % np.maximum(many, 1).astype(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(salt), pa.array(many.astype(np.int32)), pa.array(fp ^ e.view(np.int64)), pa.array(n), pa.array(place.astype(np.int32))], names=["element", "salt", "salts", "turn", "n", "place"])
 
     def shared(batches):
         """Streams sorted rows; of a list only its first row and its length so far are kept."""
-        names = ["element", "fp", "n", "place", "part", "low", "low_n"]
+        names = ["element", "fp", "n", "place", "part", "low", "often"]
         key, first, seen, held = None, None, 0, None
         for b in batches:
             e, salt, salts_, fp, n, place = (np.asarray(b.column(k)) for k in range(6))
@@ -181,16 +203,16 @@ def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, mos
             ends = np.concatenate([starts[1:], [len(e)]])
             goes_on = key == (e[0], salt[0])
             length = ends - starts
-            low, low_n, before = fp[starts].copy(), n[starts].copy(), np.zeros(len(starts), np.int64)
+            low, before = fp[starts].copy(), np.zeros(len(starts), np.int64)
             if goes_on:
-                low[0], low_n[0], before[0] = first[0], first[1], seen
+                low[0], before[0] = first, seen
             keep = (length + before > 1) | (salts_[starts] > 1)
             keep[-1] |= True  # the next batch may go on with it
-            held_now = length[-1] + before[-1] == 1 and salts_[starts[-1]] == 1
+            held_now = length[-1] + before[-1] == 1 and salts_[starts[-1]] <= 1
             group = np.repeat(np.arange(len(starts)), length)
             number = np.arange(len(e)) - starts[group] + before[group]
-            part = salt + salts_ * (number // most).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (e, fp, n, place, part.astype(np.int32), low[group], low_n[group])], names=names)
+            part = salt + np.maximum(salts_, 1) * (number // most).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (e, fp, n, place, part.astype(np.int32), low[group], salts_ > 0)], names=names)
             if held is not None and goes_on:
                 yield held
             mask = keep[group]
@@ -199,10 +221,10 @@ def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, mos
                 held = out.slice(len(e) - 1, 1)
                 mask[-1] = False
             yield out.filter(pa.array(mask))
-            key, first, seen = (e[-1], salt[-1]), (low[-1], low_n[-1]), int(length[-1] + before[-1])
+            key, first, seen = (e[-1], salt[-1]), low[-1], int(length[-1] + before[-1])
 
     rows = nodes.select("fp", "n", "elements").mapInArrow(listed, "element long, salt int, salts int, turn long, n int, place int")
-    return rows.repartition(parts, "element", "salt").sortWithinPartitions("element", "salt", "turn").mapInArrow(shared, "element long, fp long, n int, place int, part int, low long, low_n int")
+    return rows.repartition(parts, "element", "salt").sortWithinPartitions("element", "salt", "turn").mapInArrow(shared, "element long, fp long, n int, place int, part int, low long, often boolean")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -247,11 +269,19 @@ def first_pairs(nodes: DataFrame, lists: DataFrame, reach: int) -> DataFrame:
     sims = hold(nodes.groupBy("sim").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("c")))
     links = pivot_links(sims.select(F.col("sim").alias("fp"), "rep"), sims.count(), reach)
     same = nodes.join(sims.where("c > 1"), "sim").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
-    star = lists.where(F.col("place") < PLACES).select("element", "low", "fp")
+    star = lists.where((F.col("place") < PLACES) | F.col("often") & (F.pmod(F.xxhash64("element"), F.lit(OFTEN)) == 0)).select("element", "low", "fp")
     dealt = lists.groupBy("element").agg(F.max("part").alias("p"), F.min("low").alias("least")).where("p > 0").select("element", "least")  # lists in parts have one set for all as well
     across = star.join(dealt, "element").select(F.col("least").alias("a"), F.explode(F.array("low", "fp")).alias("b"))
     pairs = links.union(same).union(star.select(F.col("low").alias("a"), F.col("fp").alias("b"))).union(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = (nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+    out = allowed(pairs, nodes, lists.count())
+    links.unpersist()
+    sims.unpersist()
+    return out
+
+
+def allowed(pairs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that sizes and the sets' widest parities allow."""
+    one, two = (nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "ab")
 
     def may(batches):
         for t in batches:
@@ -260,10 +290,7 @@ def first_pairs(nodes: DataFrame, lists: DataFrame, reach: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
 
     met = pairs.join(one, "a").join(two, "b").where(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
-    out = materialize(met.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(may, "a long, b long").repartition(files(lists.count())))
-    links.unpersist()
-    sims.unpersist()
-    return out
+    return materialize(met.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(may, "a long, b long").repartition(files(rows)))
 
 
 def other_pairs(nodes: DataFrame, lists: DataFrame, label: DataFrame, parts: int) -> DataFrame:
@@ -293,7 +320,7 @@ def other_pairs(nodes: DataFrame, lists: DataFrame, label: DataFrame, parts: int
                 yield from once([p])
 
     out = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "element").mapInArrow(pair, "a long, b long").distinct()
-    out = materialize(out.repartition(files(told.count())))
+    out = allowed(out, nodes, told.count())
     told.unpersist()
     return out
 
@@ -337,7 +364,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, reach: int = 2, most: int
     parts = n_parts(docs)
     frequent, counts = often_in(docs, shingle)
     found = hold(sets_of(docs, shingle, frequent))
-    nodes = hold(found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "mark", "n", "sim", "parity", "elements"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s")).select("fp", "s.*"))
+    nodes = hold(found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "mark", "n", "sim", "wide", "parity", "elements"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s")).select("fp", "s.*"))
     prints = materialize(found.select("doc_id", "mark", "fp").repartition(files(found.count())))
     found.unpersist()
     lists = hold(shared_lists(nodes, frequent, counts, most, parts))
