@@ -281,9 +281,7 @@ def box_value(plane, box, high: bool) -> Exact:
     for k in range(3):
         lo, hi = plane[k] * box[0][k], plane[k] * box[1][k]
         bits = max(lo.bits, hi.bits)
-        up = plane[k].sign() >= 0
-        first, second = (hi, lo) if high else (lo, hi)
-        out = out + Exact(F.when(up, first.at(bits)).otherwise(second.at(bits)), bits)
+        out = out + Exact((F.greatest if high else F.least)(lo.at(bits), hi.at(bits)), bits)
     return out
 
 

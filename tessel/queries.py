@@ -269,11 +269,13 @@ def plane_culling(spark, sf):
     df = _sql(spark, sf, SMALL)
     scaled = df.withColumns({f"{p}{c}": F.col(f"{p}{c}") * 4 for p in "abc" for c in "xyz"})
     plane = X.plane_of(P("a", 6), P("b", 6), P("c", 6))
+    # each plane once, its coefficients worked out below the cells
+    planes = scaled.select(*[x.col.alias(f"p{k}") for k, x in enumerate(plane)]).where("p0 <> 0 or p1 <> 0 or p2 <> 0").groupBy("p0", "p1", "p2", "p3").agg(F.count(F.lit(1)).alias("rows"))
+    plane = tuple(X.Exact(F.col(f"p{k}"), x.bits) for k, x in enumerate(plane))
     for c in ("i", "j", "k"):
-        scaled = scaled.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(3))))
+        planes = planes.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(3))))
     box = (tuple(X.Exact((F.col(c) * 4).cast("bigint"), 6) for c in "ijk"), tuple(X.Exact((F.col(c) * 4 + 4).cast("bigint"), 6) for c in "ijk"))
-    hit = ~X.is_degenerate(plane) & X.plane_crosses_box(plane, box)
-    return scaled.where(hit).groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n"))
+    return planes.where(X.plane_crosses_box(plane, box)).groupBy("i", "j", "k").agg(F.sum("rows").alias("n"))
 
 
 SQL_CULLING = (
