@@ -258,10 +258,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
     return links
 
 
-def among(rows: DataFrame, where: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, mark and more) whose id and mark ``where`` (_d, _m) has; up to SMALL of those are broadcast, so that no text is shuffled."""
+def among(rows: DataFrame, where: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` (doc_id, mark and more) whose id and mark ``where`` (_d, _m) has, or lacks; up to SMALL of those are broadcast, so that no text is shuffled."""
     where = F.broadcast(where) if where.count() <= SMALL else where
-    return rows.join(where, rows["doc_id"].eqNullSafe(where["_d"]) & (rows["mark"] == where["_m"]), "left_semi")
+    return rows.join(where, rows["doc_id"].eqNullSafe(where["_d"]) & (rows["mark"] == where["_m"]), how)
 
 
 def first_pairs(nodes: DataFrame, lists: DataFrame, reach: int) -> DataFrame:
@@ -384,15 +384,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, reach: int = 2, most: int
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay by ``groups`` (near_duplicates of them), once each: of rows equal in id and text the least by their other columns."""
-    kept = groups.where("stays").groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg((F.count(F.lit(1)) > 1).alias("_often"))
-    kept = hold(kept)
-    known = docs.withColumn("mark", mark_of("text")) if "mark" not in docs.columns else docs.withColumnRenamed("mark", "_own_mark").withColumn("mark", mark_of("text"))
+    """The rows of ``docs`` that stay by ``groups`` (near_duplicates of them), once each: of rows equal in id and text the least by their other columns.
+
+    Few rows go, so it is those that are looked up; up to SMALL of them no text is shuffled.
+    """
+    keys = groups.groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.bool_or("stays").alias("_stays"), (F.count(F.lit(1)) > 1).alias("_often"))
+    named = hold(keys.where("not _stays or _often"))
+    own_mark = "mark" in docs.columns
+    known = (docs.withColumnRenamed("mark", "_own_mark") if own_mark else docs).withColumn("mark", mark_of("text"))
     own = lambda c: F.col("_own_mark" if c == "mark" else c)
-    once_ = among(known, kept.where("not _often").select("_d", "_m")).select(*[own(c).alias(c) for c in docs.columns])
+    alone = among(known, named.select("_d", "_m"), "left_anti").select(*[own(c).alias(c) for c in docs.columns])
     rest = [c for c in docs.columns if c != "doc_id"]
-    least = among(known, kept.where("_often").select("_d", "_m")).groupBy("doc_id", "mark").agg(F.min(F.struct(*[own(c).alias(c) for c in rest])).alias("_row"))
-    return once_.union(least.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns]))
+    least = among(known, named.where("_stays").select("_d", "_m")).groupBy("doc_id", "mark").agg(F.min(F.struct(*[own(c).alias(c) for c in rest])).alias("_row"))
+    return alone.union(least.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns]))
 
 
 def brute_force(rows: list[tuple], shingle: int = 5) -> dict:

@@ -211,14 +211,22 @@ def learn(known: DataFrame) -> Cnn:
                 langs.append(lang)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(out, pa.binary()), pa.array(np.concatenate(langs) if langs else np.zeros(0, np.int64)).cast(pa.int32())], names=["doc_id", "y", "x", "lang"])
 
-    got = known.select("doc_id", "text", "label").mapInArrow(encode, "doc_id long, y int, x binary, lang int").toArrow().sort_by("doc_id")
-    y = np.array(got["y"].to_pylist(), float)
+    got = known.select("doc_id", "text", "label").mapInArrow(encode, "doc_id long, y int, x binary, lang int").toArrow().sort_by("doc_id").combine_chunks()
+    y, lang, names = np.array(got["y"].to_pylist(), float), np.array(got["lang"].to_pylist()), got["doc_id"].to_pylist()
     model = Cnn()
     if len(y) < 8 or y.min() == y.max():
         return model
-    bags = [np.frombuffer(v, np.uint16).reshape(-1, 1 + len(HEADS)) for v in got["x"].to_pylist()]
-    lang = np.array(got["lang"].to_pylist())
-    pack = lambda ks: (np.concatenate([bags[k] for k in ks]), np.concatenate([[0], np.cumsum([len(bags[k]) for k in ks])]))
+    words = got["x"].cast(pa.large_binary()).combine_chunks()  # all rows' words stay in one buffer; only what is trained on is copied
+    del got
+    width = 1 + len(HEADS)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] // (2 * width)
+    every = np.frombuffer(words.buffers()[2] or b"", np.uint16).reshape(-1, width)
+
+    def pack(ks):
+        chosen = np.zeros(len(y), bool)
+        chosen[ks] = True
+        return every[at[0] : at[-1]][np.repeat(chosen, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[chosen])])
+
     test = np.arange(len(y)) % 5 == 0
     if y[test].min() == y[test].max() or y[~test].min() == y[~test].max():
         test = np.ones(len(y), bool)
@@ -227,7 +235,7 @@ def learn(known: DataFrame) -> Cnn:
         train = np.flatnonzero(~test)
     ids, off = pack(train)
     model.fit(ids, off, y[train])
-    model.learnt = got["doc_id"].take(pa.array(train)).to_pylist()
+    model.learnt = [names[k] for k in train.tolist()]
     held = np.flatnonzero(test)
     ids, off = pack(held)
     z = model.logits(ids, off).astype(float)
