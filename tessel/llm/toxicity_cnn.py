@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,21 +212,22 @@ def learn(known: DataFrame) -> Cnn:
                 langs.append(lang)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(out, pa.binary()), pa.array(np.concatenate(langs) if langs else np.zeros(0, np.int64)).cast(pa.int32())], names=["doc_id", "y", "x", "lang"])
 
-    got = known.select("doc_id", "text", "label").mapInArrow(encode, "doc_id long, y int, x binary, lang int").toArrow().sort_by("doc_id").combine_chunks()
-    y, lang, names = np.array(got["y"].to_pylist(), float), np.array(got["lang"].to_pylist()), got["doc_id"].to_pylist()
+    got = known.select("doc_id", "text", "label").mapInArrow(encode, "doc_id long, y int, x binary, lang int").toArrow()
+    order = pc.sort_indices(got, [("doc_id", "ascending")]).to_numpy()
+    y, lang, names = np.asarray(got["y"])[order].astype(float), np.asarray(got["lang"])[order], np.asarray(got["doc_id"])[order].tolist()
     model = Cnn()
     if len(y) < 8 or y.min() == y.max():
         return model
     words = got["x"].cast(pa.large_binary()).combine_chunks()  # all rows' words stay in one buffer; only what is trained on is copied
     del got
+    give_back()
     width = 1 + len(HEADS)
     at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] // (2 * width)
     every = np.frombuffer(words.buffers()[2] or b"", np.uint16).reshape(-1, width)
 
     def pack(ks):
-        chosen = np.zeros(len(y), bool)
-        chosen[ks] = True
-        return every[at[0] : at[-1]][np.repeat(chosen, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[chosen])])
+        rows = order[ks]
+        return np.concatenate([every[at[r] : at[r + 1]] for r in rows.tolist()]), np.concatenate([[0], np.cumsum(at[rows + 1] - at[rows])])
 
     test = np.arange(len(y)) % 5 == 0
     if y[test].min() == y[test].max() or y[~test].min() == y[~test].max():
@@ -251,8 +253,6 @@ def calibrate(model: Cnn, docs: DataFrame, labels: DataFrame) -> None:
     """Thresholds by language over every labelled row that was not trained on; ``learn``'s stay where these show one label only."""
 
     def count(batches):
-        import pyarrow.compute as pc
-
         for b in batches:
             b = b.filter(pc.invert(pc.is_in(b.column(0), value_set=pa.array(model.learnt, b.column(0).type))))
             buf, off = text_buffer(b.column(1))
