@@ -10,7 +10,7 @@ Each shard gives its k best; the k best of these are the answer.
 Queries are dealt in blocks and meet every shard once: (shard, block) pairs of packed rows, as a stated query set needs.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows without vec_id; shorter
-vectors count as padded with zeros; a query never gets rows of its own vec_id; ties go to the smaller vec_id; repeated
+vectors count as padded with zeros; where components are so large that sums may pass 62 bits, vectors are scored plainly and scores beyond a long stop at its ends; a query never gets rows of its own vec_id; ties go to the smaller vec_id; repeated
 rows are separate candidates, and a repeated query id is one query for each distinct vector of smallest order (the first); empty input gives no rows.
 """
 
@@ -90,17 +90,27 @@ class Index:
         return self.ids[possible][best], exact[best]
 
 
-def _unpack(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def plainly(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As Index.search for components whose products may pass 62 bits: every vector in Python's integers, scores beyond a long at its ends."""
+    keep = np.flatnonzero(ids != own)
+    score = [sum(a * b for a, b in zip(x[i].tolist(), q.tolist(), strict=True)) for i in keep.tolist()]
+    best = sorted(range(len(score)), key=lambda i: (-score[i], int(ids[keep[i]])))[:k]
+    return ids[keep[best]], np.array([min(max(score[i], -(1 << 63)), (1 << 63) - 1) for i in best], np.int64)
+
+
+def _unpack(t: pa.Table, dim: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
     ids, data = t["ids"].to_pylist(), t["data"].to_pylist()
     if not ids:
         return np.zeros(0, np.int64), np.zeros((0, dim), np.int64)
-    return np.concatenate([np.frombuffer(x, np.int64) for x in ids]), np.concatenate([np.frombuffer(x, np.int32).reshape(-1, dim) for x in data]).astype(np.int64)
+    return np.concatenate([np.frombuffer(x, np.int64) for x in ids]), np.concatenate([np.frombuffer(x, kind).reshape(-1, dim) for x in data]).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = 32768, block: int = 512) -> DataFrame:
-    """query_id, rank, vec_id, score.  Both inputs: vec_id long, v array<long> without nulls.  Integers to 31 bits."""
-    m = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    """query_id, rank, vec_id, score.  Both inputs: vec_id long, v array<long> without nulls; the queries are rows of the vectors."""
+    m = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.array_max("v")).alias("high"), F.min(F.array_min("v")).alias("low")).first()
     n, dim = m["n"], max(m["dim"] or 1, 1)
+    most = max(abs(m["high"] or 0), abs(m["low"] or 0))
+    kind, exact = np.int32 if most < 1 << 31 else np.int64, 4 * most * most * dim < 1 << 62
     asked = max(1, queries.count())
     shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
 
@@ -109,7 +119,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = 3276
         group = F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
 
         def pack(t: pa.Table) -> pa.Table:
-            x = np.zeros((len(t), dim), np.int32)
+            x = np.zeros((len(t), dim), kind)
             for i, v in enumerate(t["v"].to_pylist()):
                 x[i, : len(v)] = v
             order = np.argsort(np.asarray(t["vec_id"]), kind="stable")
@@ -121,14 +131,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = 3276
     wanted = materialize(packed(queries, "block", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, x = _unpack(a, dim)
-        q_ids, q = _unpack(b, dim)
+        ids, x = _unpack(a, dim, kind)
+        q_ids, q = _unpack(b, dim, kind)
         out: list[list] = [[], [], []]
         if len(ids):
-            found = Index(ids, x)
+            find = Index(ids, x).search if exact else lambda *a: plainly(ids, x, *a)
             first = np.concatenate([[True], q_ids[1:] != q_ids[:-1]]) if len(q_ids) else np.zeros(0, bool)
             for i in np.flatnonzero(first):
-                hit, score = found.search(q[i], int(q_ids[i]), k)
+                hit, score = find(q[i], int(q_ids[i]), k)
                 out[0] += [int(q_ids[i])] * len(hit)
                 out[1] += hit.tolist()
                 out[2] += score.tolist()

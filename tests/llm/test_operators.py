@@ -301,6 +301,19 @@ def test_top_k_is_exact(spark):
     assert impact_topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    for size in (4e7, 3e9, 1e16):
+        rows = [(i, [size * (i % 7 - 3), 1.0, float(i)]) for i in range(40)]
+        v = impact_topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        x = {r.vec_id: r.v for r in v.collect()}
+        clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+        for own in (0, 20):
+            score = {i: sum(a * b for a, b in zip(x[i], x[own], strict=True)) for i in x if i != own}
+            want = [(i, clip(score[i])) for i in sorted(score, key=lambda i: (-score[i], i))[:5]]
+            got = impact_topk.top_k(v, v.where(F.col("vec_id") == own), 5).orderBy("rank").collect()
+            assert sorted((r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_top_k_with_tied_segments():
     rng = np.random.default_rng(7)
     for trial in range(60):
