@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .simhash_pivot import pivot_links
-from .util import HASH_P, LOWER, files, hold, materialize, min_label_components, mix64, n_parts, prefix_hash, release, slices, span_hash, text_buffer, word_spans
+from .util import HASH_P, LOWER, files, hold, map_arrow, materialize, min_label_components, mix64, n_parts, prefix_hash, release, slices, span_hash, text_buffer, word_spans
 
 NUM, DEN = 4, 5
 SAMPLE = 64
@@ -146,7 +146,7 @@ def sets_of(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
             binary = [pa.array([y for x in o for y in x], pa.binary()) for o in out[3:]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(n.astype(np.int32)), *binary], names=[x.split()[0] for x in SET.split(", ")])
 
-    return marked(docs).mapInArrow(run, SET)
+    return map_arrow(marked(docs), run, SET)
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def often_in(docs: DataFrame, shingle: int, at_least: int = 4, limit: int = 50_0
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["element"])
 
     few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
-    got = few.mapInArrow(run, "element long").groupBy("element").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= at_least)
+    got = map_arrow(few, run, "element long").groupBy("element").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= at_least)
     got = got.orderBy(F.col("c").desc(), "element").limit(limit).toArrow()
     e, c = np.asarray(got["element"], np.int64).view(np.uint64), np.asarray(got["c"], np.int64)
     order = np.argsort(e)
@@ -223,8 +223,8 @@ def shared_lists(nodes: DataFrame, frequent: np.ndarray, counts: np.ndarray, mos
             yield out.filter(pa.array(mask))
             key, first, seen = (e[-1], salt[-1]), low[-1], int(length[-1] + before[-1])
 
-    rows = nodes.select("fp", "n", "elements").mapInArrow(listed, "element long, salt int, salts int, turn long, n int, place int")
-    return rows.repartition(parts, "element", "salt").sortWithinPartitions("element", "salt", "turn").mapInArrow(shared, "element long, fp long, n int, place int, part int, low long, often boolean")
+    rows = map_arrow(nodes.select("fp", "n", "elements"), listed, "element long, salt int, salts int, turn long, n int, place int")
+    return map_arrow(rows.repartition(parts, "element", "salt").sortWithinPartitions("element", "salt", "turn"), shared, "element long, fp long, n int, place int, part int, low long, often boolean")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -249,9 +249,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     where = hold(nodes.join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")))
     texts = among(marked(docs), where).select("text")
-    sets = hold(texts.mapInArrow(whole, "fp long, elements binary").dropDuplicates(["fp"]))
+    sets = hold(map_arrow(texts, whole, "fp long, elements binary").dropDuplicates(["fp"]))
     one, two = (sets.select(F.col("fp").alias(k), F.col("elements").alias(f"elements_{k}")) for k in "ab")
-    links = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "elements_a", "elements_b").mapInArrow(verify, "a long, b long").repartition(files(pairs.count())))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "elements_a", "elements_b")
+    links = materialize(map_arrow(both, verify, "a long, b long").repartition(files(pairs.count())))
     sets.unpersist()
     where.unpersist()
     release(pairs)
@@ -290,7 +291,7 @@ def allowed(pairs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
 
     met = pairs.join(one, "a").join(two, "b").where(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
-    return materialize(met.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(may, "a long, b long").repartition(files(rows)))
+    return materialize(map_arrow(met.select("a", "b", "n_a", "n_b", "wide_a", "wide_b"), may, "a long, b long").repartition(files(rows)))
 
 
 def other_pairs(nodes: DataFrame, lists: DataFrame, label: DataFrame, parts: int) -> DataFrame:
@@ -319,7 +320,7 @@ def other_pairs(nodes: DataFrame, lists: DataFrame, label: DataFrame, parts: int
             for p in pairs_of(kept[2:], tail):
                 yield from once([p])
 
-    out = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "element").mapInArrow(pair, "a long, b long").distinct()
+    out = map_arrow(dealt.repartition(parts, "cell").sortWithinPartitions("cell", "element"), pair, "a long, b long").distinct()
     out = allowed(out, nodes, told.count())
     told.unpersist()
     return out

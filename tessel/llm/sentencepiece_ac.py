@@ -8,8 +8,8 @@ ties go to the longer last piece.  Decoding joins the surfaces and takes the lea
 any text that holds no U+2581 itself.
 
 No piece goes on after U+2581 has followed another character and none holds a line feed (checked when the model is
-loaded), so the best path of a text is the concatenation of the best paths of its words; words are encoded once and
-kept in a bounded cache.
+loaded), so the best path of a text is the concatenation of the best paths of its words; paths of words met of late are
+kept in a bounded cache of two generations.  Texts are encoded and handed on in slices of bounded size.
 
 Defined results: null and empty texts give no ids and decode to ''; extra columns pass through; very long texts and
 words are encoded whole.
@@ -24,7 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .util import map_arrow, slices, text_buffer
+
 SPACE = "▁"
+SLICE = 1 << 20
 
 
 def default_model() -> str:
@@ -34,7 +37,7 @@ def default_model() -> str:
 class Codec:
     """Encoder and decoder for one model's bytes."""
 
-    def __init__(self, proto: bytes, cache_words: int = 400_000):
+    def __init__(self, proto: bytes, cache_words: int = 100_000):
         import ahocorasick
         import sentencepiece
 
@@ -62,6 +65,7 @@ class Codec:
         self.unknown = lowest - 10.0
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if self.apart else None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.cache_words = cache_words
 
     def viterbi(self, s: str) -> list[int]:
@@ -106,10 +110,11 @@ class Codec:
         for w in self.words.findall(s):
             ids = cache.get(w)
             if ids is None:
-                ids = tuple(self.viterbi(w))
+                ids = self.older.get(w) or tuple(self.viterbi(w))
                 if len(w) <= 64:
                     if len(cache) >= self.cache_words:
-                        cache.clear()
+                        self.older, self.cache = cache, {}
+                        cache = self.cache
                     cache[w] = ids
             out.extend(ids)
         return out
@@ -126,9 +131,14 @@ def encode(docs: DataFrame, model: str | None = None, column: str = "text", deco
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType())]
     schema = T.StructType(docs.schema.fields + fields + [T.StructField("decoded", T.StringType())] * decoded)
 
+    def parts(batches):
+        for b in batches:
+            for i, j in slices(text_buffer(b.column(b.schema.get_field_index(column)))[1], SLICE):
+                yield b.slice(i, j - i)
+
     def run(batches):
         codec = Codec(proto.value)
-        for b in batches:
+        for b in parts(batches):
             flat, ends, same, texts = [], [0], [], []
             for t in b.column(b.schema.get_field_index(column)).to_pylist():
                 ids = codec.encode(t)
@@ -142,7 +152,7 @@ def encode(docs: DataFrame, model: str | None = None, column: str = "text", deco
             new = [lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same, pa.bool_())] + ([pa.array(texts, pa.string())] if decoded else [])
             yield pa.RecordBatch.from_arrays(list(b.columns) + new, names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import hold, materialize, min_label_components, mix64, n_parts
+from .util import hold, map_arrow, materialize, min_label_components, mix64, n_parts
 
 SHINGLE = 3
 WIDTH = 8
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t, xxhash.xxh64_intdigest) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def pivots(n: int, seed: int = 2024) -> np.ndarray:
@@ -125,7 +125,7 @@ def pivot_links(known: DataFrame, n: int, reach: int = 2, per_cell: int = 64, mo
             who, cell = enter_cells(fp, grid, reach)
             yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[who].view(np.int64)), pa.array(rep[who])], names=["cell", "fp", "rep"])
 
-    cells = hold(known.select("fp", "rep").repartition(parts).mapInArrow(enter, "cell long, fp long, rep long"))
+    cells = hold(map_arrow(known.select("fp", "rep").repartition(parts), enter, "cell long, fp long, rep long"))
     large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select("cell", F.ceil(F.col("m") / most).alias("r"))
     joined = cells.join(large, "cell", "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("r"))
@@ -161,7 +161,7 @@ def pivot_links(known: DataFrame, n: int, reach: int = 2, per_cell: int = 64, mo
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    links = hold(dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long").distinct())
+    links = hold(map_arrow(dealt.repartition(parts, "cell").sortWithinPartitions("cell"), link, "a long, b long").distinct())
     cells.unpersist()
     return links
 

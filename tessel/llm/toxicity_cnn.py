@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import LOWER, crc_mod, give_back, mix64, prefix_hash, slices, span_hash, text_buffer, word_spans
+from .util import LOWER, crc_mod, give_back, map_arrow, mix64, prefix_hash, slices, span_hash, text_buffer, word_spans
 
 TABLE_BITS = 15
 DIM = 8
@@ -212,7 +212,7 @@ def learn(known: DataFrame) -> Cnn:
                 langs.append(lang)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(out, pa.binary()), pa.array(np.concatenate(langs) if langs else np.zeros(0, np.int64)).cast(pa.int32())], names=["doc_id", "y", "x", "lang"])
 
-    got = known.select("doc_id", "text", "label").mapInArrow(encode, "doc_id long, y int, x binary, lang int").toArrow()
+    got = map_arrow(known.select("doc_id", "text", "label"), encode, "doc_id long, y int, x binary, lang int").toArrow()
     order = pc.sort_indices(got, [("doc_id", "ascending")]).to_numpy()
     y, lang, names = np.asarray(got["y"])[order].astype(float), np.asarray(got["lang"])[order], np.asarray(got["doc_id"])[order].tolist()
     model = Cnn()
@@ -264,7 +264,7 @@ def calibrate(model: Cnn, docs: DataFrame, labels: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(langs)), pa.array(np.concatenate(step))], names=["doc_id", "lang", "step"])
 
     known = labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
-    seen = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(count, "doc_id long, lang long, step long").join(known, "doc_id")
+    seen = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), count, "doc_id long, lang long, step long").join(known, "doc_id")
     got = seen.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("hits")).toArrow()
     lang, step, n, hits = (np.array(got[c].to_pylist(), np.int64) for c in ("lang", "step", "n", "hits"))
     if not 0 < hits.sum() < n.sum():
@@ -301,7 +301,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFram
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
