@@ -10,7 +10,7 @@ calibrates: the logit is shifted so that the cut with the best balanced accuracy
 nothing is shuffled but the sample.
 
 Defined results: empty and null texts are one passage of zero words and get a score like any other; null doc_ids are
-never learnt from and are scored (held_out false); repeated rows score equally; with fewer than 8 labelled rows, or only one label, every score
+never learnt from and are scored (held_out false); repeated rows score equally; of several labels of a doc_id the greatest counts; with fewer than 8 labelled rows, or only one label, every score
 is 0.5; extra columns pass through.
 """
 
@@ -198,7 +198,7 @@ def learn(known: DataFrame, label: str, sample: int, passages_of=passages) -> Mi
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``.  ``labels``: doc_id, label; the caller keeps held-out rows away from it."""
-    chosen = labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
+    chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
     model = learn(known, "label", sample)
     docs = docs.drop("score", "predicted")

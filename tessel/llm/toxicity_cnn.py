@@ -12,7 +12,7 @@ language has fewer than 20 toxic ones.  They come from distributed counts of log
 Bounds (parameters): training on at most ``sample`` labelled rows, those with the smallest hash of doc_id.  Scoring
 reads every whole text where it lies, once for the thresholds and once for the result; no text is shuffled but the sample's.
 
-Defined results: empty and null texts have no words and get the score of an empty pool; repeated rows score equally;
+Defined results: empty and null texts have no words and get the score of an empty pool; repeated rows score equally; of several labels of a doc_id the greatest counts;
 null doc_ids are never learnt from; with fewer than 8 labelled rows, or only one label, every score is 0; extra columns pass through.
 """
 
@@ -278,7 +278,7 @@ def calibrate(model: Cnn, docs: DataFrame, labels: DataFrame) -> None:
                 langs.append(lang)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(langs)), pa.array(np.concatenate(step))], names=["doc_id", "lang", "step"])
 
-    known = labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
     seen = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), count, "doc_id long, lang long, step long").join(known, "doc_id")
     got = seen.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("hits")).toArrow()
     lang, step, n, hits = (np.array(got[c].to_pylist(), np.int64) for c in ("lang", "step", "n", "hits"))
@@ -301,7 +301,7 @@ def counted_cut(step: np.ndarray, n: np.ndarray, hits: np.ndarray) -> float:
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``.  ``labels``: doc_id, label; the caller keeps held-out rows away from it."""
-    chosen = labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
+    chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
     model = learn(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most ``sample`` rows of two numbers
     if model.trained:
         calibrate(model, docs, labels)

@@ -13,7 +13,8 @@ Rules (host, path): a rule fits its host and all subdomains if the path starts w
 (longest host, then longest path).
 
 Defined results: a null URL or one without ``://`` has empty host and path; no rule fits it, and its template is judged like any other
-(no labels: allowed); repeated rows count as often as they occur; an empty table gives an empty result; extra columns pass through.
+(no labels: allowed); repeated rows count as often as they occur; an empty table gives an empty result; extra columns pass through, but those named template,
+purity and rejected are replaced and one named parent goes.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def templates(urls: DataFrame, depth: int = 6, fan_out: int = 16) -> DataFrame:
 
 def judge(urls: DataFrame, depth: int = 6, fan_out: int = 16, purity: float = 0.8, prior_rows: float = 4.0, alike: float = 1.96) -> DataFrame:
     """``urls`` (host, path, bad: 1, 0 or null where unlabelled) with template, purity and rejected."""
-    r = materialize(templates(urls, depth, fan_out))
+    r = materialize(templates(urls.drop("template", "parent", "purity", "rejected"), depth, fan_out))
     t = r.groupBy("host", "template", "parent").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("b"))
     rate = r.agg(F.avg("bad").alias("rate")).first()["rate"]
     rate = 0.0 if rate is None else float(rate)

@@ -117,6 +117,9 @@ def test_unlabelled_branches_are_not_merged(spark):
     rows = [("h", f"/de/{i}", 1) for i in range(40)] + [("h", f"/fr/{i}", None) for i in range(20)] + [("g", f"/x/{i}", 0) for i in range(40)]
     rows += [("m", f"/{a}/{i}", 1) for a in ("a", "b") for i in range(3)]
     got = {(r.host, r.template): r for r in url_tree.judge(spark.createDataFrame(rows, "host string, path string, bad int")).collect()}
+    clash = spark.createDataFrame(rows, "host string, path string, bad int").withColumns({c: F.lit("own") for c in ("template", "parent", "purity", "rejected", "more")})
+    kept = url_tree.judge(clash)
+    assert kept.columns.count("rejected") == 1 and kept.where("rejected and more = 'own'").count() == kept.where("rejected").count() == sum(r[2] == 1 for r in rows)
     assert got["h", "/de/{n}"].rejected and not got["h", "/fr/{n}"].rejected
     assert got["h", "/fr/{n}"].purity == 46 / 86
     assert got["m", "/a/{n}"].purity == got["m", "/b/{n}"].purity == (6 + 4 * 46 / 86) / 10
