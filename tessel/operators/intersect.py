@@ -90,7 +90,7 @@ def meet(t1, t2) -> bool:
 
 def self_intersections(fat_triangles: DataFrame, b: int = 21, cell: int | None = None) -> DataFrame:
     """mesh_id, t1, t2: the pairs (t1 < t2)."""
-    boxed = mesh.boxes(fat_triangles)
+    boxed = mesh.checkpoint(mesh.boxes(fat_triangles))  # both sides of the join read it; its own plan may be long
     pairs = mesh.grid_pairs(boxed, "tid", cell or max(1, 1 << (b - 6)), ["mesh_id"])
     names = mesh.CORNERS
     pairs = pairs.select(F.col("a.mesh_id").alias("mesh_id"), F.col("a.tid").alias("t1"), F.col("b.tid").alias("t2"), *[F.col(f"{s}.{c}").cast("long").alias(f"{s}_{c}") for s in "ab" for c in names])
