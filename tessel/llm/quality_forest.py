@@ -2,13 +2,14 @@
 
 Rule statistics of a whole text (words are ``[^\\x20\\x09-\\x0D]+``): n_words, word_chars, n_symbols, n_dup_lines,
 n_repeat_words; from them the shares that the forest splits on: characters a word, symbols, capitals and marks a
-character.  A forest of random trees is grown on a bounded sample of what the base rules pass; a document's score is 2^(-mean path length / expected length), so that what random splits
-isolate early scores high.  The threshold comes from labelled rows: the one with the best balanced accuracy among those
-that keep at least ``keep`` of the good ones.
+character.  A forest of random trees is grown on labelled rows that the base rules pass, each tree on ``tree_rows`` drawn rows as the
+method has it; a document's score is 2^(-mean path length / expected length), so that what random splits
+isolate early scores high.  The threshold comes from all labelled rows that the base rules pass, counted by score in BINS bins: the one
+with the best balanced accuracy among those that keep at least ``keep`` of the good ones.
 
-Bounds (parameters): ``sample`` labelled rows, those with the smallest hash of doc_id, for growing and calibrating;
-``trees`` x ``tree_rows``.  Everything else covers all rows.  Statistics are computed where the text is read; nothing
-is shuffled but the sample.
+Bounds (parameters): ``trees`` x ``tree_rows``; the driver holds twice that many rows of FEATURES numbers, drawn from all by a hash of
+doc_id.  Everything else covers all rows.  Texts are read twice (for the labelled rows' features, then for the results) and not shuffled;
+the features are, once.
 
 Defined results: null and empty texts have no words and fail the base rules; null doc_ids pass; repeated rows score
 equally; of several labels of a doc_id the greatest counts; without any labelled rows the threshold is 1 (the base rules alone decide); extra columns pass through.
@@ -24,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .util import materialize, release
+
 BLANK = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = 4
+BINS = 1 << 14
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -112,37 +116,75 @@ def isolation(x: np.ndarray, forest: tuple[np.ndarray, ...], rows: int) -> np.nd
     return np.exp2(-total / len(feature) / max(expected(rows), 1e-9))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, keep: float) -> float:
-    """Reject above it: best balanced accuracy among thresholds that keep at least ``keep`` of the good rows."""
-    if not len(score) or not good.any() or good.all():
+def bin_of(score: np.ndarray) -> np.ndarray:
+    """Bin k holds scores in (k / BINS, (k + 1) / BINS], and 0 in the first."""
+    return np.clip(np.ceil(score * BINS).astype(np.int64) - 1, 0, BINS - 1)
+
+
+def cut_off(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
+    """Of the numbers of good and bad rows by bin, reject above it: best balanced accuracy among bin ends that keep at least ``keep`` of the good rows."""
+    if not good.any() or not bad.any():
         return 1.0
-    cuts = np.unique(np.quantile(score, np.linspace(0, 1, 513)))
-    g, b = np.sort(score[good]), np.sort(score[~good])
-    kept = np.searchsorted(g, cuts, side="right") / len(g)
-    out = 1 - np.searchsorted(b, cuts, side="right") / len(b)
+    at = np.flatnonzero(good + bad)
+    kept, out = np.cumsum(good)[at] / good.sum(), 1 - np.cumsum(bad)[at] / bad.sum()
     value = np.where(kept >= keep, kept + out, -1)
-    return float(cuts[int(np.argmax(value))]) if value.max() > 1 else 1.0
+    return float((at[int(np.argmax(value))] + 1) / BINS) if value.max() > 1 else 1.0
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = 4096, trees: int = 100, tree_rows: int = 512, keep: float = 0.975, seed: int = 7) -> DataFrame:
-    """``docs`` with the five counts, base_failed, anomaly (double) and kept.  ``labels``: doc_id, good (1 or 0)."""
-    chosen = labels.where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+def calibrate(score: np.ndarray, good: np.ndarray, keep: float) -> float:
+    at = bin_of(score)
+    return cut_off(*(np.bincount(at[x], minlength=BINS) for x in (good, ~good)), keep)
+
+
+def measured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """good and the features x0.. of every labelled row that the base rules pass; no text is shuffled."""
+    known = labels.where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.max("good").cast("int").alias("good"))
 
     def measure(batches):
         for b in batches:
-            rows = [statistics(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("good")).cast(pa.int32()), pa.array([int(r[0][0] < 10 or 100 * r[0][4] > 20 * r[0][0]) for r in rows], pa.int32()), pa.array([list(map(float, r[1])) for r in rows], pa.list_(pa.float64()))], names=["good", "failed", "x"])
+            rows = [statistics(t) for t in b.column(1).to_pylist()]
+            n = np.array([r[0] for r in rows], np.int64).reshape(-1, 5)
+            f = np.array([r[1] for r in rows], float).reshape(-1, FEATURES)
+            b = pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(FEATURES))], names=["doc_id", *(f"x{k}" for k in range(FEATURES))])
+            yield b.filter(pa.array(~base_failed(n)))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(measure, f"doc_id {kind}, " + ", ".join(f"x{k} double" for k in range(FEATURES)))
+    return rows.join(known, "doc_id")
+
 
-    got = known.mapInArrow(measure, "good int, failed int, x array<double>").toArrow()
-    x = np.array(got["x"].to_pylist(), float).reshape(-1, FEATURES)
-    order = np.lexsort(x.T)
-    x, good = x[order], np.array(got["good"].to_pylist(), bool)[order]
-    passed = np.array(got["failed"].to_pylist(), int)[order] == 0
+def base_failed(counts: np.ndarray) -> np.ndarray:
+    return (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
+
+
+def judge(docs: DataFrame, labels: DataFrame, trees: int = 100, tree_rows: int = 512, keep: float = 0.975, seed: int = 7) -> DataFrame:
+    """``docs`` with the five counts, base_failed, anomaly (double) and kept.  ``labels``: doc_id, good (1 or 0)."""
+    xs = [f"x{k}" for k in range(FEATURES)]
+    passed = materialize(measured(docs, labels))
+    n = passed.count()
     threshold, forest = 1.0, None
-    if passed.sum() >= 8:
-        forest = grow(x[passed], trees, tree_rows, seed)
-        threshold = calibrate(isolation(x[passed], forest, tree_rows), good[passed], keep)
+    if n >= 8:
+        # What the trees draw their rows from: all rows, or where they are many, about twice the rows that all trees draw together.
+        share = min(1.0, 2 * trees * tree_rows / n)
+        x = passed.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select(*xs).toArrow()
+        x = np.stack([x[c].to_numpy() for c in xs], 1)
+        forest = grow(x[np.lexsort(x.T)], trees, tree_rows, seed)
+
+        def scores(batches):
+            total = np.zeros((2, BINS), np.int64)
+            for b in batches:
+                at = bin_of(isolation(np.stack([b.column(k).to_numpy() for k in range(FEATURES)], 1), forest, tree_rows))
+                good = b.column(FEATURES).to_numpy() != 0
+                for k, mine in enumerate((~good, good)):
+                    total[k] += np.bincount(at[mine], minlength=BINS)
+            k, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(total[k, at])], names=["good", "bin", "n"])
+
+        by = passed.select(*xs, "good").mapInArrow(scores, "good long, bin long, n long").groupBy("good", "bin").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros((2, BINS), np.int64)
+        total[by["good"].to_numpy(), by["bin"].to_numpy()] = by["n"].to_numpy()
+        threshold = cut_off(total[1], total[0], keep)
+    release(passed)
     names = [*COUNTS, "base_failed", "anomaly", "kept"]
     docs = docs.drop(*names)
     schema = T.StructType(docs.schema.fields + [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("anomaly", T.DoubleType()), T.StructField("kept", T.BooleanType())])
@@ -153,7 +195,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 4096, trees: int = 1
             counts = np.array([r[0] for r in rows], np.int64).reshape(-1, 5)
             f = np.array([r[1] for r in rows], float).reshape(-1, FEATURES)
             score = isolation(f, forest, tree_rows) if forest is not None and len(f) else np.zeros(len(f))
-            failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
+            failed = base_failed(counts)
             new = [pa.array(counts[:, i]) for i in range(5)] + [pa.array(failed), pa.array(score), pa.array(~failed & (score <= threshold))]
             yield pa.RecordBatch.from_arrays(list(b.columns) + new, names=[x.name for x in schema.fields])
 

@@ -561,3 +561,18 @@ def test_encode_table(spark, docs, none, codec):
     assert len(got) == docs.count()
     assert all(r.round_trip and r.decoded == (r.text or "") and len(r.ids) == r.n_pieces for r in got)
     assert sentencepiece_ac.encode(none).count() == 0
+
+
+def test_quality_forest_threshold_counts_all_labelled_rows(spark):
+    """No 4,096 labelled rows stand for the others: every row that the base rules pass is measured, and bins hold what scores say."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('one two three four five six seven eight nine ten word', id) as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 7 > 0) as good")
+    assert quality_forest.measured(docs, labels.union(labels)).groupBy("good").count().count() == 2
+    assert quality_forest.measured(docs, labels.union(labels)).count() == 6000
+    score = np.array([0.0, 0.25, 0.25 + 1e-9, 1.0])
+    at = quality_forest.bin_of(score)
+    assert ((at + 1) / quality_forest.BINS >= score).all() and (at / quality_forest.BINS < score)[1:].all()
+    n = quality_forest.BINS
+    good, bad = np.bincount([n // 4] * 98 + [n // 2] * 2, minlength=n), np.bincount([n // 4] + [n - 1] * 9, minlength=n)
+    assert quality_forest.cut_off(good, bad, 0.975) == (n // 2 + 1) / n
+    assert quality_forest.cut_off(good, bad * 0, 0.975) == 1.0
